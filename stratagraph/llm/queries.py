@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, ppm, quality, sharding, toxicity
+from . import ann, bpe, decontaminate, jaccard, langid, ppm, quality, sharding, suffix_dedup, toxicity
 from .common import table
 
 
@@ -14,10 +14,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 16)
 
@@ -38,6 +46,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -45,7 +57,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_language, op5_shard_bytes, op6_decontaminate, op7_ppm, op8_quality, op9_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_language, op4_neighbours, op5_shard_bytes, op6_decontaminate, op7_ppm, op8_quality, op9_bpe, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
