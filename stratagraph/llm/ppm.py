@@ -28,16 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold, text_steps, texts
+from .common import cut, fold, large_binary, text_steps, texts
 
 U64 = np.uint64
 #: Bytes that UTF-8 never has: before the first byte of a text, and after the last.
 START, END = 0xFE, 0xFF
+#: What each kind of byte seen in a context gives of its count to the escape (method D gives one half).
+DISCOUNT = 0.5
 
 
 @dataclass(frozen=True)
 class PpmParams:
-    order: int = 6
+    order: int = 5
     share: int = 1 << 20
     tokens: int = 1 << 18
 
@@ -120,9 +122,9 @@ class Model:
             of = np.repeat(np.arange(len(owner)), kinds.astype(np.int64))
             self.grams.append(Index(keys))
             self.counts.append(n)
-            self.logs.append(np.log(n / (totals + kinds)[of]))
+            self.logs.append(np.log((n - DISCOUNT) / totals[of]))
             self.contexts.append(Index(owner))
-            self.escape.append(np.log((totals - kept + kinds) / (totals + kinds)))
+            self.escape.append(np.log((totals - kept + DISCOUNT * kinds) / totals))
             if k:
                 # What each context excludes from the next shorter one, and what is left there.
                 mask = U64((1 << 8 * k) - 1)
@@ -131,9 +133,9 @@ class Model:
                 seen = np.add.reduceat(self.counts[k - 1][below], first) if len(keys) else np.zeros(0)
                 rest = excluded[0][shorter] - seen
                 fresh = excluded[1][shorter] - kinds
-                self.total_after.append(rest + fresh)
-                away = excluded[2][shorter] + fresh
-                self.escape_after.append(np.where(away > 0, np.log(np.maximum(away, 1) / np.maximum(rest + fresh, 1)), 0.0))
+                self.total_after.append(np.maximum(rest, 1))
+                away = excluded[2][shorter] + DISCOUNT * fresh
+                self.escape_after.append(np.where(away > 0, np.log(np.maximum(away, DISCOUNT) / np.maximum(rest, 1)), 0.0))
             excluded = totals, kinds, totals - kept
         self.none = math.log(1 / 256)
         known = len(self.counts[0]) if counts else 0
@@ -152,7 +154,7 @@ class Model:
             out[left[direct]] += self.logs[k][gram[direct]]
             after = hit & (longer >= 0)
             if after.any():
-                out[left[after]] += np.log(self.counts[k][gram[after]] / self.total_after[k][longer[after]])
+                out[left[after]] += np.log((self.counts[k][gram[after]] - DISCOUNT) / self.total_after[k][longer[after]])
             miss = ~hit
             left, wanted, longer = left[miss], wanted[miss], longer[miss]
             context = self.contexts[k].find(wanted >> U64(8))
@@ -264,8 +266,9 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([found[t] for t in part], pa.int64())], names=["token", "n"])
 
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            found.update((text or "").encode().lower().split())
+        data, offsets = large_binary(batch.column("text"))
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            found.update(data[a:b].tobytes().lower().split())
             found[b""] += 1
         if len(found) > 400_000:
             yield from out()
@@ -276,29 +279,32 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, frequent = shared.value
+        kind = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
         for batch in batches:
-            n_tokens, n_known, base, rare, scores = [], [], [], [], np.zeros(len(batch))
-            for text in batch.column("text").to_pylist():
-                words = (text or "").encode().lower().split()
-                words.append(b"")
-                known, total, rest = 0, 0.0, []
-                for token, n in Counter(words).items():
-                    log = frequent.get(token)
-                    if log is None:
-                        rest.append((token, n))
-                    else:
-                        known += n
-                        total += n * log
-                n_tokens.append(len(words))
-                n_known.append(known)
-                base.append(total)
-                rare.append(rest)
-            for lo, hi, data, offsets in text_steps(batch, limit=1 << 17):
+            for lo, hi, data, offsets in text_steps(batch, limit=1 << 18):  # small steps: few texts at once, arrays that stay in the cache
+                n_tokens, n_known, base, counts, rest, times = [], [], [], [0], [], []
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    words = data[a:b].tobytes().lower().split()
+                    words.append(b"")
+                    known, total = 0, 0.0
+                    for token, n in Counter(words).items():
+                        log = frequent.get(token)
+                        if log is None:
+                            rest.append(token)
+                            times.append(n)
+                        else:
+                            known += n
+                            total += n * log
+                    n_tokens.append(len(words))
+                    n_known.append(known)
+                    base.append(total)
+                    counts.append(len(rest))
                 keys, first = grams(data, offsets, model.order)
-                scores[lo:hi] = np.add.reduceat(model.log_probabilities(keys), first) / math.log(10)
-            kind = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
-            rare = pa.array([[{"token": t, "n": n} for t, n in r] for r in rare], kind)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), rare], names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare"])
+                scores = np.add.reduceat(model.log_probabilities(keys), first) / math.log(10)
+                pairs = pa.StructArray.from_arrays([pa.array(rest, pa.binary()), pa.array(times, pa.int64())], fields=list(kind.value_type))
+                rare = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pairs)
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), rare], names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare"])
 
     return run
 
