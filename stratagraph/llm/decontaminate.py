@@ -140,7 +140,9 @@ def _mark(shared):
                             if b" ".join(mapped[a:b].tobytes() for a, b in zip(starts[s:e], ends[s:e], strict=True)) == windows.text[w]:
                                 spans[lo + row] = _joined(spans[lo + row], s - begin, e - begin)
                                 items[lo + row] = [*{*(items[lo + row] or []), *windows.items[w]}]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "text", "n_words", "spans", "items"])
+            new = {"n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.int64()))}
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
 
     return run
 
@@ -176,9 +178,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows (doc_id, text, n_words, spans, items): all word spans of each document that hold a window, and the items they come from."""
+    """Rows (doc_id, text, row, n_words, spans, items): all word spans of each document that hold a window, the items they come from,
+    and the whole input row."""
     spark = docs.sparkSession
-    out = texts(docs).select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<bigint>").alias("items"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), whole, F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<bigint>").alias("items"))
     source, shape = texts(docs).select("text"), out.schema
     block: list[tuple[int, str | None]] = []
     size, blocks = 0, 0
@@ -201,5 +205,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
     """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
-    found = find_contamination(docs, benchmark, window, shingle)
+    found = find_contamination(texts(docs), benchmark, window, shingle).drop("row", "text")
     return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
+    """The rows of `docs`, all columns, that hold no window of the benchmark."""
+    return find_contamination(docs, benchmark, window, shingle).filter(F.coalesce(F.size("spans"), F.lit(0)) <= 0).select("row.*")

@@ -209,4 +209,6 @@ def keep_one(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
     gone = found.filter(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash")))).select("doc_id", "hash").distinct()
     on = hashed["stratagraph_id"].eqNullSafe(gone["doc_id"]) & (hashed["stratagraph_hash"] == gone["hash"])
     kept = hashed.join(gone, on, "left_anti")
-    return kept.dropDuplicates(["stratagraph_hash", "stratagraph_id"]).select(*names)
+    if rows.groupBy("doc_id", "hash").count().filter("count > 1").limit(1).count():  # wholly repeated rows
+        kept = kept.dropDuplicates(["stratagraph_hash", "stratagraph_id"])
+    return kept.select(*[F.col(f"`{c}`") for c in names])

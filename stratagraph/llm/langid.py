@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, one_task
+from .common import fold, one_task, texts
 
 LETTER = re.compile(r"[^\W\d_]")
 U32 = np.uint32
@@ -137,7 +137,8 @@ def _predict(shared, p: LangParams):
                 best = int(probs.argmax())
                 names.append(languages[best])
                 scores.append(float(probs[best]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     return run
 
@@ -165,13 +166,21 @@ def train_language(docs: DataFrame, keep: Column, p: LangParams = LangParams()):
 
 
 def predict_language(docs: DataFrame, model, p: LangParams = LangParams()) -> DataFrame:
-    """The rows of `docs`, whose columns are kept, with lang_pred and score."""
+    """(row, lang_pred, score): each whole input row with what its text is taken for."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_predict(shared, p), f"{', '.join(f'`{c}` {t}' for c, t in docs.dtypes)}, lang_pred string, score double")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    return whole.mapInArrow(_predict(shared, p), f"row {docs.schema.simpleString()}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.5, folds: int = 3, held: int = 1) -> DataFrame:
+    """The rows of `docs`, all columns, whose language is recognised with a probability of `least` or more; a null lang is filled in."""
+    model = train_language(docs, fold(F.col("doc_id").cast("long"), folds) != held)
+    found = predict_language(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return found.select(*[F.coalesce(F.col("row.lang"), F.col("lang_pred")).alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def language_id(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     """(doc_id, held_out, lang_pred, score); rows whose fold is `held` are not learnt from."""
     model = train_language(docs, fold(F.col("doc_id").cast("long"), folds) != held)
-    found = predict_language(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
-    return found.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "lang_pred", "score")
+    found = predict_language(texts(docs), model)
+    return found.select("row.doc_id", (fold(F.col("row.doc_id"), folds) == held).alias("held_out"), "lang_pred", "score")
