@@ -22,7 +22,6 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,7 +31,7 @@ from .common import texts
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
 #: Distinct pieces in the younger of the two generations that a Python worker keeps, over its tasks.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 400_000
 _encoders: dict[tuple, Encoder] = {}
 
 
@@ -52,10 +51,10 @@ def byte_symbols() -> list[str]:
 
 
 @lru_cache(1)
-def newer_letters() -> regex.Pattern:
+def newer_letters() -> frozenset[str]:
     """Letters and numbers of `regex`'s Unicode version that the standard library's, like the tokenizer's, has not assigned."""
     every = "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
-    return regex.compile("[" + "".join(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn") + "]|(?!)")
+    return frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
 
 
 class Automaton:
@@ -110,23 +109,26 @@ class Encoder:
         byte_of = {s: b for b, s in enumerate(byte_symbols())}
         self.inner: dict[bytes, int] = {}
         self.final: dict[bytes, int] = {}
-        lengths: dict[bytes, set[int]] = {}
+        self.longest = 1
+        self.longer: dict[bytes, set[int]] = {}  # by the first four bytes: lengths of longer arcs
         end = automaton.end
         for token in automaton.live:
             label = automaton.labels[token]
             last = bool(end) and label.endswith(end)
             raw = bytes(byte_of[c] for c in (label[: -len(end)] if last else label))
             (self.final if last else self.inner)[raw] = token
-            lengths.setdefault(raw[:3], set()).add(len(raw))
+            self.longest = max(self.longest, len(raw))
+            if not last and len(raw) > 4:
+                self.longer.setdefault(raw[:4], set()).add(len(raw))
         if not end:
             self.final = self.inner
-        #: By the next three bytes: the lengths of arcs worth trying, the longest first.
-        self.lengths = {b: tuple(sorted(found | {n for k in (1, 2) for n in lengths.get(b[:k], ()) if k < len(b)}, reverse=True)) for b, found in lengths.items()}
+        self.newer = newer_letters()
+        self.choices: dict[bytes, tuple[tuple[int, int], ...]] = {}
         self.open: dict[int, bool] = {}
         self.split = regex.compile(automaton.pattern)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(automaton.special, key=len, reverse=True))) + ")") if automaton.special else None
-        self.pieces: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _opens(self, before: int, arc: int) -> bool:
         key = before << 20 | arc
@@ -137,59 +139,75 @@ class Encoder:
             found = self.open[key] = self.a.opens(before, arc)
         return found
 
+    def choice(self, prefix: bytes) -> tuple[tuple[int, int], ...]:
+        """Arcs within a word that may spell what begins with these (up to four) bytes, the longest first: (length, token, or -1 if
+        it takes more bytes to tell)."""
+        found = [(n, -1) for n in sorted(self.longer.get(prefix, ()), reverse=True)]
+        found += [(n, self.inner[prefix[:n]]) for n in range(len(prefix), 0, -1) if prefix[:n] in self.inner]
+        if len(self.choices) > 500_000:
+            self.choices.clear()
+        self.choices[prefix] = tuple(found)
+        return self.choices[prefix]
+
     def walk(self, word: bytes) -> list[int]:
         """The accepted path that spells a pre-split word: one token for each arc."""
-        n, inner, final, lengths, known = len(word), self.inner, self.final, self.lengths, self.open
+        n, inner, final, choices, known, longest = len(word), self.inner, self.final, self.choices, self.open, self.longest
         path: list[int] = []
         starts: list[int] = []
         dead: set[tuple[int, int]] = set()
         at, before, most = 0, -1, n
         while at < n:
-            step = 0
+            rest = n - at
             if not dead or (at, before) not in dead:
-                for length in lengths.get(word[at : at + 3]) or self.fewer(word[at : at + 3]):
-                    if length > most or at + length > n:
-                        continue
-                    token = (final if at + length == n else inner).get(word[at : at + length])
-                    if token is not None and (before < 0 or (known.get(before << 20 | token) or self._opens(before, token))):
-                        step = length
-                        break
-            if step:
-                path.append(token)
-                starts.append(at)
-                at, before, most = at + step, token, n
-            elif not path:
+                if rest <= longest and rest <= most:
+                    token = final.get(word[at:])
+                    if token is not None and (before < 0 or known.get(before << 20 | token) or self._opens(before, token)):
+                        path.append(token)
+                        return path
+                prefix = word[at : at + 4]
+                for length, token in choices.get(prefix) or self.choice(prefix):
+                    if length < rest and length <= most:
+                        if token < 0:
+                            token = inner.get(word[at : at + length])
+                            if token is None:
+                                continue
+                        if before < 0 or known.get(before << 20 | token) or self._opens(before, token):
+                            path.append(token)
+                            starts.append(at)
+                            at, before, most = at + length, token, n
+                            break
+                else:
+                    dead.add((at, before))
+                if n - at != rest:
+                    continue
+            if not path:
                 raise ValueError("a byte that the vocabulary lacks")
-            else:  # no arc leads on: back, and a shorter arc
-                dead.add((at, before))
-                path.pop()
-                most = at - starts[-1] - 1
-                at = starts.pop()
-                before = path[-1] if path else -1
+            # No arc leads on: back, and a shorter arc.
+            path.pop()
+            most = at - starts[-1] - 1
+            at = starts.pop()
+            before = path[-1] if path else -1
         return path
 
-    def fewer(self, prefix: bytes) -> tuple[int, ...]:
-        """Lengths where no arc is longer than two bytes."""
-        found = self.lengths.get(prefix[:2]) or self.lengths.get(prefix[:1], ())
-        self.lengths[prefix] = found
-        return found
-
-    def piece(self, chunk: str) -> tuple[bytes, str]:
-        """(numbers as little-endian 32 bits, labels) of a run of characters without white space."""
+    def piece(self, chunk: str) -> bytes:
+        """Numbers, as little-endian 32 bits, of a run of characters without white space."""
         if chunk in self.older:
             found = self.pieces[chunk] = self.older[chunk]
             return found
         tokens: list[int] = []
-        masked = chunk if chunk.isascii() else newer_letters().sub("\ue000", chunk)  # for splitting alone
-        for word in [chunk[m.start() : m.end()] for m in self.split.finditer(masked)] if masked != chunk else self.split.findall(chunk):
+        if self.newer.isdisjoint(chunk):
+            words = self.split.findall(chunk)
+        else:  # they split as symbols do
+            masked = "".join("\ue000" if c in self.newer else c for c in chunk)
+            words = [chunk[m.start() : m.end()] for m in self.split.finditer(masked)]
+        for word in words:
             raw = word.encode()
             try:
                 tokens += self.walk(raw)
             except ValueError:
                 known = bytes(b for b in raw[:-1] if bytes([b]) in self.inner) + (raw[-1:] if raw[-1:] in self.final else b"")
                 tokens += self.walk(known) if known else []
-        labels = self.a.labels
-        found = array("I", tokens).tobytes(), " ".join([labels[t] for t in tokens])
+        found = array("I", tokens).tobytes()
         if len(chunk) < 256:
             if len(self.pieces) >= KEPT_PIECES:
                 self.pieces, self.older = {}, self.pieces
@@ -202,22 +220,18 @@ class Encoder:
             return text.lower()
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """(numbers as little-endian 32 bits, decoded text) of a whole text."""
+    def encode(self, text: str | None) -> bytes:
+        """Numbers, as little-endian 32 bits, of a whole text."""
         ids: list[bytes] = []
-        words: list[str] = []
         parts = self.cut.split(text) if self.cut and text and "<|" in text else [text or ""]
         for i, part in enumerate(parts):
             if i % 2:
-                ids.append(np.array([self.a.special[part]], "<u4").tobytes())
-                words.append(part)
+                ids.append(array("I", [self.a.special[part]]).tobytes())
                 continue
             for chunk in self.chunks(self.normal(part)):
-                found = self.pieces.get(chunk) or self.piece(chunk)
-                if found[0]:
-                    ids.append(found[0])
-                    words.append(found[1])
-        return b"".join(ids), " ".join(words)
+                found = self.pieces.get(chunk)
+                ids.append(self.piece(chunk) if found is None else found)
+        return b"".join(ids)
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -226,7 +240,7 @@ class Encoder:
 
     def decode(self, ids: bytes) -> str:
         """The labels of a sequence of numbers, as the tokenizer without a decoder joins them."""
-        return " ".join([self.a.labels[t] for t in np.frombuffer(ids, "<u4").tolist()])
+        return " ".join(map(self.a.labels.__getitem__, array("I", ids)))
 
 
 def _encode(shared, key: tuple, keep_text: bool):
@@ -235,10 +249,10 @@ def _encode(shared, key: tuple, keep_text: bool):
         for batch in batches:
             counts, digests, decoded, raw = [], [], [], []
             for text in batch.column("text").to_pylist():
-                ids, words = encoder.encode(text)
+                ids = encoder.encode(text)
                 counts.append(len(ids) // 4)
                 digests.append(hashlib.sha256(ids).hexdigest())
-                decoded.append(hashlib.sha256(words.encode()).hexdigest())
+                decoded.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
                 if keep_text:
                     raw.append(ids)
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
