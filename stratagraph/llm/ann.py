@@ -1,9 +1,8 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph and greedy search on it.
 
 Equal vectors are one node (with its least ids, as many as an answer can need), so that a large group of copies costs no more
-than one vector. To every vector a number is added that brings all to the same length, so that neighbours by inner product are
-neighbours in the graph. The graph starts from the exact neighbours within random blocks. In each round every node brings
-its neighbours, and those that have it as theirs, together, and each of them learns of its nearest among the others:
+than one vector. The graph's nearness is the inner product itself, so that long vectors stand near many. The graph starts from
+the exact neighbours within random blocks, dealt several times. In each round every node brings its neighbours, and those that have it as theirs, together, and each of them learns of its nearest among the others:
 neighbours of neighbours, by Spark joins on node ids. The vectors that travel are quantised to bytes; answers are ranked by
 the original vectors in double precision.
 
@@ -17,8 +16,10 @@ ties go to the smaller id; an empty table gives no row.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,16 @@ from .common import cut, grouped, width
 
 @dataclass(frozen=True)
 class Descent:
-    neighbours: int = 14
-    reverse: int = 14
-    #: Of each meeting, how many of the others a node learns of.
-    learnt: int = 8
+    neighbours: int = 32
+    reverse: int = 32
+    #: Of each meeting, of how many others, if nearer than those it has, a node learns.
+    learnt: int = 12
     block: int = 512
+    dealings: int = 3
     rounds: int = 5
-    #: Search: beam, nodes opened in a round, rounds.
-    beam: int = 72
-    opened: int = 8
+    #: Search: beam, nodes opened in a step, steps.
+    beam: int = 400
+    opened: int = 48
     steps: int = 8
 
 
@@ -69,15 +71,10 @@ def unpack(rows: list[bytes]) -> np.ndarray:
     return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
 
 
-def _packed(longest: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                x = matrix(batch.column("vec"))
-                rest = np.sqrt(np.maximum(longest**2 - (x * x).sum(axis=1), 0))
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(pack(np.column_stack([x, rest])), pa.binary())], names=["node", "code"])
-
-    return run
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if len(batch):
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(pack(matrix(batch.column("vec"))), pa.binary())], names=["node", "code"])
 
 
 def _best(owner: np.ndarray, other: np.ndarray, near: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,12 +137,15 @@ def _meetings(p: Descent):
             np.fill_diagonal(near, -np.inf)
             k = min(p.learnt, len(ids) - 1)
             top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            held.append((np.repeat(ids, k), ids[top].reshape(-1), np.take_along_axis(near, top, 1).reshape(-1)))
-            size += len(ids) * k
+            found = np.take_along_axis(near, top, 1)
+            who, place = np.nonzero(found > group.column("radius").to_numpy()[index][:, None])
+            held.append((ids[who], ids[top[who, place]], found[who, place]))
+            k = len(who) / len(ids)
+            size += int(len(ids) * k)
             if size > 500_000:
                 yield out()
                 held, size = [], 0
-        if held:
+        if size:
             yield out()
 
     return run
@@ -162,15 +162,20 @@ def nn_descent(nodes: DataFrame, p: Descent = Descent()) -> DataFrame:
     total = nodes.count()
     most = p.neighbours if total > p.block // 2 else max(total - 1, 1)
     parts = max(1, min(width(nodes.sparkSession), total // p.block))
-    first = nodes.repartition(parts, F.xxhash64("node", F.lit(1))).sortWithinPartitions(F.xxhash64("node", F.lit(2))).mapInArrow(_blocks(p, most), "u long, v long, near float")
-    graph = cut(first, "ann-graph")
     if total <= p.block // 2:
-        return graph  # complete
+        return cut(nodes.repartition(1).mapInArrow(_blocks(p, most), "u long, v long, near float"), "ann-graph")  # complete
+    # Blocks dealt anew several times: what only one dealing has brought together is linked to the rest by the others.
+    dealt = [nodes.repartition(parts, F.xxhash64("node", F.lit(2 * k))).sortWithinPartitions(F.xxhash64("node", F.lit(2 * k + 1))).mapInArrow(_blocks(p, most // 2), "u long, v long, near float") for k in range(p.dealings)]
+    graph = cut(reduce(DataFrame.union, dealt).groupBy("u", "v").agg(F.max("near").alias("near")), "ann-graph")
     for _ in range(p.rounds):
         back = nearest_of(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "near"), "u", "v", p.reverse)
         around = graph.select("u", "v").union(back.select("u", "v"))
         around = around.select(F.col("u").alias("at"), F.col("v").alias("node")).union(nodes.select(F.col("node").alias("at"), "node"))
-        brought = around.join(nodes, "node").select("at", "node", "code")
+        # With each node goes how near its farthest neighbour is: what is no nearer need not travel.
+        farthest = graph.groupBy(F.col("u").alias("node")).agg(F.min("near").alias("near"), F.count("*").alias("n"))
+        radius = F.when(F.col("n") >= p.neighbours, F.col("near")).otherwise(F.lit(float("-inf"))).cast("float")
+        known = nodes.join(farthest, "node", "left").select("node", "code", F.coalesce(radius, F.lit(float("-inf")).cast("float")).alias("radius"))
+        brought = around.join(known, "node").select("at", "node", "code", "radius")
         met = brought.repartition(width(nodes.sparkSession), "at").sortWithinPartitions("at", "node").mapInArrow(_meetings(p), "u long, v long, near float")
         pairs = graph.union(met).groupBy("u", "v").agg(F.max("near").alias("near"))
         graph = cut(nearest_of(pairs, "u", "v", p.neighbours), "ann-graph")
@@ -230,7 +235,10 @@ def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, p: Des
     parts = width(spark)
     both = graph.select("u", "v").union(nearest_of(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "near"), "u", "v", p.reverse // 2).select("u", "v")).distinct()
     coded = both.join(nodes.withColumnRenamed("node", "v"), "v").select("u", "v", "code")
-    around = cut(coded.repartition(parts, "u").sortWithinPartitions("u", "v").mapInArrow(_around, "u long, others binary, codes binary"), "ann-around")
+    # Bucketed by node: no step of the search shuffles the graph again.
+    name = f"stratagraph_around_{uuid.uuid4().hex}"
+    coded.repartition(parts, "u").sortWithinPartitions("u", "v").mapInArrow(_around, "u long, others binary, codes binary").write.bucketBy(parts, "u").option("compression", "zstd").saveAsTable(name)
+    around = spark.table(name)
     beams = cut(queries.select("query", "code", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("near"), F.lit(None).cast("binary").alias("opened"), F.array("start").alias("next")), "ann-beam")
     empty = F.lit(b"").cast("binary")
     for _ in range(p.steps):
@@ -241,6 +249,7 @@ def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, p: Des
         beams = cut(rows.repartition(parts, "query").sortWithinPartitions("query").mapInArrow(_advance(p), _BEAM), "ann-beam")
         if not beams.filter(F.size("next") > 0).limit(1).count():
             break
+    spark.sql(f"drop table {name}")
     return beams.select("query", "ids")
 
 
@@ -273,14 +282,13 @@ def nearest(vectors: DataFrame, every: int = 20, most: int = 20, p: Descent = De
     order = Window.partitionBy("vec").orderBy("vec_id")
     least = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most + 1)
     classes = cut(least.groupBy("vec").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "ann-classes")
-    longest = classes.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 0.0
-    nodes = cut(classes.select("node", "vec").mapInArrow(_packed(longest), "node long, code binary"), "ann-nodes")
+    nodes = cut(classes.select("node", "vec").mapInArrow(_packed, "node long, code binary"), "ann-nodes")
     graph = nn_descent(nodes, p)
     asked = rows.filter(F.col("vec_id") % every == 0)
     named = cut(asked.join(classes.select("vec", "node"), "vec").select("vec_id", "node", "vec"), "ann-queries")
-    # Copies among the queries ask once; the number added to a query is 0, so that nearness is its inner product.
+    # Copies among the queries ask once.
     different = named.select("node", "vec").dropDuplicates(["node"])
-    flat = different.select("node", F.col("vec")).mapInArrow(_query_codes, "node long, code binary")
+    flat = different.mapInArrow(_packed, "node long, code binary")
     found = greedy_search(graph, nodes, flat.select(F.col("node").alias("query"), "code", F.col("node").alias("start")), p)
     candidates = found.mapInArrow(_ids, "query long, found array<bigint>").select(F.col("query").alias("from"), F.explode(F.array_union("found", F.array("query"))).alias("node"))
     wanted = different.select(F.col("node").alias("from"), F.col("vec").alias("own"))
@@ -290,9 +298,3 @@ def nearest(vectors: DataFrame, every: int = 20, most: int = 20, p: Descent = De
     others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, most)
     return each.select("query_id", F.posexplode(others).alias("place", "x")).select("query_id", (F.col("place") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
 
-
-def _query_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if len(batch):
-            x = matrix(batch.column("vec"))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(pack(np.column_stack([x, np.zeros(len(x))])), pa.binary())], names=["node", "code"])

@@ -113,6 +113,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ke
     sample = labelled_sample(labels, label, keep if keep is not None else F.lit(True), p.per_class)
     mixed = sample_texts(docs, sample).withColumn("order", F.xxhash64("doc_id", F.lit(3)))
     m = one_task(mixed, "order", "doc_id").drop("order").mapInArrow(_train(p), "good binary, bad binary, curve array<double>").first()
+    if m is None:  # no labelled document at all
+        return b"", b"", [0.0, 0.0, 0.0]
     return bytes(m["good"]), bytes(m["bad"]), list(m["curve"])
 
 

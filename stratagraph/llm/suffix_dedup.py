@@ -348,7 +348,10 @@ def _suffixes(p: Repeats):
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of a shard that asks, found in another shard's sorted run by binary search."""
-    table = pa.Table.from_batches(list(batches), schema=pa.schema([("key", pa.binary()), ("a", pa.int32()), ("b", pa.int32()), ("digest", pa.binary()), ("shard", pa.int64())]))
+    held = list(batches)
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
     raw, _ = large_binary(table.column("digest"))
     digests = raw.reshape(-1, 16).copy().view(">u8").astype(U64)
     shards = table.column("shard").to_numpy()

@@ -128,7 +128,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", kee
     """The sparse model from the rows of `labels` that `keep` lets through."""
     sample = labelled_sample(labels, label, keep if keep is not None else F.lit(True), p.per_class)
     found = sample_texts(docs, sample).mapInArrow(_extract(p), "doc_id long, label int, weight double, found array<int>")
-    (model,) = one_task(found, "doc_id").mapInArrow(_train(p), "at binary, w binary, bias double").collect() or [None]
+    model = one_task(found, "doc_id").mapInArrow(_train(p), "at binary, w binary, bias double").first()
+    if model is None:  # no labelled document at all
+        return np.zeros(0, np.int64), np.zeros(0), 0.0
     return np.frombuffer(model["at"], np.int64), np.frombuffer(model["w"]), model["bias"]
 
 
