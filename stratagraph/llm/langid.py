@@ -125,20 +125,22 @@ def _predict(shared, p: LangParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, languages, raw, temperature = shared.value
         w = raw.astype(np.float64)
-        for batch in batches:
-            names, scores = [], []
-            for text in batch.column("text").to_pylist():
-                if not languages or text is None or not LETTER.search(text):
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                at, x = _vector(text, idf, p.bits)
-                probs = _softmax(x @ w[at] / temperature)
-                best = int(probs.argmax())
-                names.append(languages[best])
-                scores.append(float(probs[best]))
-            kept = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
+        for whole in batches:
+            for lo in range(0, len(whole), 500):  # few texts at once as Python strings
+                batch = whole.slice(lo, 500)
+                names, scores = [], []
+                for text in batch.column("text").to_pylist():
+                    if not languages or text is None or not LETTER.search(text):
+                        names.append("und")
+                        scores.append(0.0)
+                        continue
+                    at, x = _vector(text, idf, p.bits)
+                    probs = _softmax(x @ w[at] / temperature)
+                    best = int(probs.argmax())
+                    names.append(languages[best])
+                    scores.append(float(probs[best]))
+                kept = [c for c in batch.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     return run
 

@@ -33,7 +33,8 @@ class Ftrl:
     bits: int = 20
     alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 4.0
+    #: No less than the epochs: a feature of one text alone, whose gradients add up to less, never gets a weight.
+    l1: float = 8.0
     l2: float = 1.0
     epochs: int = 8
     per_class: int = 4096
