@@ -85,27 +85,37 @@ def dense_index(ids: DataFrame, column: str) -> DataFrame:
     return placed.join(F.broadcast(before), "part").select("ext_id", (F.col("before") + F.col("at")).alias("node_id"))
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node_id, component): the least node that can be reached.
+#: Parts that the edges of one node are dealt to where they meet its least neighbour.
+SALTS = 8
 
-    Large-star and small-star steps in turn join nodes to the least of their neighbours until all edges are stars; every
-    round shuffles edges alone and is written into the shared folder."""
-    own = cut(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "components")
+
+def stars(edges: DataFrame, name: str = "stars", rounds: int = 60) -> DataFrame:
+    """(node, root) for each node that the edges (a, b) link to another: the least node that can be reached.
+
+    Large-star and small-star steps in turn join nodes to the least of their neighbours until all edges are stars. Only edges
+    are shuffled, a hub's in parts, and every round is written into the shared folder."""
+    own = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     last = None
     for _ in range(rounds):
         near = own.union(own.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = near.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = near.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        large = salted.join(least, ["a", "salt"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # Now every edge goes from a node to a smaller one, and a node has few.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        own = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "components")
+        own = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct(), name)
         now = own.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
-            break
+            return own.select(F.col("a").alias("node"), F.col("b").alias("root")).union(own.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         last = now
-    else:
-        raise RuntimeError(f"no end after {rounds} rounds")
-    return nodes.select("node_id").join(own.withColumnsRenamed({"a": "node_id", "b": "root"}), "node_id", "left").select("node_id", F.coalesce("root", "node_id").alias("component"))
+    raise RuntimeError(f"no end after {rounds} rounds")
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_id, component): the least node that can be reached."""
+    found = stars(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), "components")
+    return nodes.select("node_id").join(found.withColumnRenamed("node", "node_id"), "node_id", "left").select("node_id", F.coalesce("root", "node_id").alias("component"))
 
 
 def is_connected(edges: DataFrame, nodes: DataFrame) -> bool:

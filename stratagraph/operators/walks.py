@@ -23,7 +23,7 @@ def random_walks(edges: DataFrame, starts: DataFrame, length: int, seed: int = 1
     """(walk_id, path) of `length` steps from starts (walk_id, node_id); the next node is drawn in proportion to weights.
 
     A step is one join to the adjacency lists. A node without neighbours ends its walk."""
-    lists = lists if lists is not None else running_lists(edges)
+    lists = lists if lists is not None else cut(running_lists(edges), "lists")
     walks = starts.select("walk_id", F.array("node_id").alias("path"), F.col("node_id").alias("at"))
     for step in range(1, length + 1):
         moved = walks.join(lists, walks["at"] == lists["src"], "left")

