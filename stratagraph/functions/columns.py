@@ -23,6 +23,8 @@ def unit(vector: Column) -> Column:
 
 
 def pick(dsts: Column, sums: Column, at: Column) -> Column:
-    """The first neighbour whose running weight exceeds `at`; the last one if rounding leaves none."""
-    found = F.array_position(F.transform(sums, lambda s: s > at), True).cast("int")
-    return F.element_at(dsts, F.when(found > 0, found).otherwise(F.size(dsts)))
+    """The first neighbour whose running weight exceeds `at`; the last one if rounding leaves none.
+
+    `at` is bound before the list is gone through, so that it is worked out once and not for each entry."""
+    place = lambda x: F.least(F.size(F.filter(sums, lambda s: s <= x)) + 1, F.size(dsts))
+    return F.element_at(F.transform(F.array(at), lambda x: F.element_at(dsts, place(x))), 1)
