@@ -106,26 +106,3 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
             last, at = values[at], to
     if waiting:
         yield pa.Table.from_batches(waiting)
-
-
-def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of the edges (a, b): the least node that can be reached.
-
-    Large-star and small-star steps in turn: each joins every node to the least of its neighbours, until all edges are
-    stars. Only edges are shuffled; each round is written into the shared folder."""
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    before = None
-    for _ in range(rounds):
-        near = both(edges)
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = near.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # Now every edge goes from a node to a smaller one.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = cut(small, name)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = now
-    raise RuntimeError(f"no end after {rounds} rounds")

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, grouped, large_binary, spans_to_list, text_steps, texts, width
+from ..operators.graph import stars
+from .common import cut, grouped, large_binary, spans_to_list, text_steps, texts, width
 from .textnum import mix, shingles, word_hashes, word_spans
 
 U64 = np.uint64
@@ -166,7 +167,7 @@ def near_classes(docs: DataFrame, p: Forest = Forest()) -> tuple[DataFrame, Data
     places = classes.select("class", F.explode("labels").alias("label"))
     buckets = places.groupBy("label").agg(F.min("class").alias("head"), F.count("*").alias("met")).filter("met > 1").drop("met")
     edges = places.join(buckets, "label").filter(F.col("class") != F.col("head")).select(F.col("class").alias("a"), F.col("head").alias("b"))
-    members = components(edges, "jaccard-meet").withColumnsRenamed({"node": "class", "root": "component"})
+    members = stars(edges, "jaccard-meet").withColumnsRenamed({"node": "class", "root": "component"})
     members = cut(members.join(classes.select("class", "n", "least", "size"), "class"), "jaccard-members")
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum("size") / p.block_shingles)).cast("int").alias("blocks"))
     members = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("class", F.lit(5)), F.col("blocks")).cast("int"))
@@ -178,7 +179,7 @@ def near_classes(docs: DataFrame, p: Forest = Forest()) -> tuple[DataFrame, Data
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "n", "labels", "set")
     keys = ["component", "i", "j"]
     verified = cut(dealt.repartition(width(spark), *keys).sortWithinPartitions(*keys, "class").mapInArrow(_verify(p), "class binary, links long, head binary"), "jaccard-links")
-    joined = components(verified.select(F.col("class").alias("a"), F.col("head").alias("b")), "jaccard-groups").withColumnsRenamed({"node": "class"})
+    joined = stars(verified.select(F.col("class").alias("a"), F.col("head").alias("b")), "jaccard-groups").withColumnsRenamed({"node": "class"})
     counted = verified.groupBy("class").agg(F.sum("links").alias("links"))
     plain = classes.select("class", "n", "least")
     grouped_ = plain.join(joined, "class").join(counted, "class")
