@@ -44,7 +44,7 @@ class Repeats:
     gram: int = 64
     #: Bytes of segments in one suffix array, and different segments of one anchor before it is split.
     shard: int = 2 << 20
-    split: int = 4096
+    split: int = 8192
 
 
 # Suffix arrays
