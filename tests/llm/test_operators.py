@@ -251,6 +251,21 @@ def test_ppm_scores(docs, empty, tokens):
     assert ppm.score_language_model(empty).count() == 0
 
 
+def test_ppm_uses_every_count(docs):
+    """The score is that of one model of all counts, however few grams are broadcast."""
+    given = docs.select("doc_id", "text").collect()
+    bytes_of = lambda texts: (np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]))
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    order = ppm.PpmParams().order
+    keys, _ = ppm.grams(*bytes_of([(r.text or "").encode() for r in given if not held(r.doc_id)]), order)
+    model = ppm.Model([np.unique(keys & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True) for k in range(order + 1)])
+    own, first = ppm.grams(*bytes_of([(r.text or "").encode() for r in given]), order)
+    wanted = sorted(np.round(np.add.reduceat(model.log_probabilities(own), first) / math.log(10), 6).tolist())
+    for share in (1 << 20, 64, 1):
+        out = ppm.score_language_model(docs, p=ppm.PpmParams(share=share)).collect()
+        assert np.allclose(sorted(r.score for r in out), wanted, atol=1e-5)
+
+
 # Tokens
 
 
