@@ -45,7 +45,7 @@ BUCKET, STEP = 1 << 19, 1 << 17
 
 @dataclass(frozen=True)
 class PpmParams:
-    order: int = 5
+    order: int = 6
     share: int = 1 << 20
     tokens: int = 1 << 18
 

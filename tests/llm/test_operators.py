@@ -266,6 +266,15 @@ def test_ppm_uses_every_count(docs):
         assert np.allclose(sorted(r.score for r in out), wanted, atol=1e-5)
 
 
+def test_ppm_contexts_of_six_bytes(spark):
+    texts = [(i, t) for i, t in enumerate(["1abcde1", "2abcde2"] * 30)] + [(1000 + i, "1abcde2") for i in range(20)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    given = [(i, t) for i, t in texts if i < 1000 or held(i)]
+    assert len(given) > 60
+    score = {r.doc_id: r.score for r in ppm.score_language_model(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    assert max(score[i] for i, _ in given if i >= 1000) < min(score[i] for i, _ in given if i < 1000) - 0.5
+
+
 # Tokens
 
 
