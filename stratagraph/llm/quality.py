@@ -1,6 +1,6 @@
 """Quality by compression: zstandard dictionaries from good and from bad text.
 
-A bounded, documented sample of labelled rows gives two dictionaries. Every text is cut into blocks, each is compressed with
+A bounded, documented sample of labelled rows gives two dictionaries, from blocks of all of each text as far as `sample_bytes` goes. Every text is cut into blocks, each is compressed with
 either dictionary, and the difference of the compressed sizes over the text's size, summed over all blocks of the whole
 text, becomes a probability by logistic calibration on the part of the sample that no dictionary has seen.
 
@@ -10,6 +10,7 @@ score is the share of label 1; repeated rows score alike; a document of several
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,13 +53,20 @@ class Sizes:
         return ((bad - good) / max(good, bad), float(np.log(min(good, bad) / len(text)))) if text else (0.0, 0.0)
 
 
+def _blocks(samples: list[bytes], p: ZstdParams) -> list[bytes]:
+    """All blocks of the texts; beyond `sample_bytes`, the texts give theirs by turns, each in a hashed order over its whole length."""
+    places = [(turn, i, at) for i, text in enumerate(samples) for turn, at in enumerate(sorted(range(0, len(text), p.block), key=lambda at: zlib.crc32(b"%d %d" % (i, at))))]
+    taken, size = [], 0
+    for _, i, at in sorted(places):
+        if size >= p.sample_bytes:
+            break
+        taken.append((i, at))
+        size += min(p.block, len(samples[i]) - at)
+    return [samples[i][at : at + p.block] for i, at in sorted(taken)]
+
+
 def _dictionary(samples: list[bytes], p: ZstdParams) -> bytes:
-    parts, size = [], 0
-    for text in samples:
-        for at in range(0, min(len(text), 16 * p.block), p.block):
-            if size < p.sample_bytes:
-                parts.append(text[at : at + p.block])
-                size += len(parts[-1])
+    parts = _blocks(samples, p)
     try:
         return zstandard.train_dictionary(p.dictionary, parts).as_bytes()
     except zstandard.ZstdError:  # too little to train on: the samples themselves

@@ -275,6 +275,17 @@ def test_ppm_contexts_of_six_bytes(spark):
     assert max(score[i] for i, _ in given if i >= 1000) < min(score[i] for i, _ in given if i < 1000) - 0.5
 
 
+def test_quality_learns_from_whole_texts():
+    opening = sentence(6000).encode()
+    assert len(opening) > 16 << 10
+    tails = [[(" ".join(f"{name}{i}" for i in rng.integers(0, 200, 1500))).encode() for _ in range(40)] for name in ("fine", "poor")]
+    for sample_bytes in (6 << 20, 1 << 19):
+        p = quality.ZstdParams(sample_bytes=sample_bytes)
+        sizes = quality.Sizes(*(quality._dictionary([opening + t for t in part[1:]], p) for part in tails), p)
+        assert sizes.measures(tails[0][0])[0] > 0.02
+        assert sizes.measures(tails[1][0])[0] < -0.02
+
+
 # Tokens
 
 
