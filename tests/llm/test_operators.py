@@ -328,6 +328,40 @@ def test_automaton_accepts_only_merged_sequences():
             assert [encoder.a.labels[t] for t in encoder.walk(word.encode())] == parts
 
 
+def test_bpe_on_every_character():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    library, encoder = Tokenizer.from_file(path), bpe.Encoder(bpe.load(path))
+    every = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    for texts in (every, [f"a{c}b" for c in every], [f"{c}{c}" for c in every if ord(c) > 0x10000 or not c.isascii()]):
+        for text, found in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(encoder.encode(text), "<u4").tolist() == found.ids, ascii(text)
+
+
+def test_bpe_white_space_and_long_texts():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    library, encoder = Tokenizer.from_file(path), bpe.Encoder(bpe.load(path))
+    spaces = list(" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u2003\u3000")
+    texts = ["".join(rng.choice([*spaces, "a", "é"], int(rng.integers(1, 12)))) for _ in range(2000)]
+    texts += [s + "a" + z for s in spaces for z in spaces] + ["x<|endoftext|>\x1c", "<|startoftext|>" * 3]
+    texts += ["".join(rng.choice(list("abcdefghij0123456789"), 1_200_000)), " ".join(["word", "naïve", "日本語"] * 100_000)]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_table_starts_anew(monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_STATES", 50)
+    encoder, plain = bpe.Encoder(bpe.load(queries.tokenizer_path())), bpe.Encoder(bpe.load(queries.tokenizer_path()))
+    words = ["".join(rng.choice(list("aehtinrs"), int(rng.integers(1, 20)))).encode() for _ in range(300)]
+    found = [encoder.walk(w) for w in words]
+    monkeypatch.setattr(bpe, "MOST_STATES", 300_000)
+    assert found == [plain.walk(w) for w in words]
+    assert all("".join(plain.a.labels[t] for t in path).removesuffix("</w>").encode() == w for path, w in zip(found, words, strict=True))
+
+
 # Classifiers
 
 
