@@ -180,9 +180,46 @@ def test_near_duplicates(docs, empty):
     assert jaccard.near_duplicates(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
 
 
-def test_forest_depth():
-    assert jaccard.Forest().depth() == 5
-    assert jaccard.Forest(recall=0.5).depth() > 5
+def test_trie_of_sorted_signatures():
+    for _ in range(30):
+        n = int(rng.integers(0, 60))
+        group, sig = np.sort(rng.integers(0, 3, n)), rng.integers(0, 2, (n, 6))
+        order = np.lexsort((*sig.T[::-1], group))
+        group, sig = group[order], sig[order].astype(">u2")
+        crowds, labels = jaccard.prefix_crowds(group, sig, 2), jaccard.prefix_labels(sig, group, 2)
+        for i in range(n):
+            for d in range(2, 7):
+                same = [j for j in range(n) if group[j] == group[i] and (sig[j, :d] == sig[i, :d]).all()]
+                assert crowds[i, d - 2] == len(same)
+                assert np.flatnonzero(labels[:, d - 2] == labels[i, d - 2]).tolist() == same
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached():
+    p = jaccard.Forest()
+    crowds = np.ones((200, p.trees, 5), np.int64)
+    crowds[100:] = np.sort(rng.integers(1, 5000, (100, p.trees, 5)), axis=2)[:, :, ::-1]
+    lengths = jaccard.shortened(crowds, p)
+    missed = np.prod(1 - p.threshold ** lengths.astype(float), axis=1)
+    assert (missed <= 1 - p.recall + 1e-9).all()
+    assert set(np.unique(lengths)) >= {4, 5, 6}  # long where crowded, short where not
+    # The last step was needed: one place more in the shortest prefix misses the target.
+    for own in lengths[100:110]:
+        longer = own.astype(float).copy()
+        longer[own.argmin()] += 1
+        assert np.prod(1 - p.threshold**longer) > np.prod(1 - p.threshold ** own.astype(float))
+    with pytest.raises(ValueError):
+        jaccard.Forest(trees=2)
+
+
+def test_forest_keeps_long_prefixes_in_crowds(spark):
+    """Many texts with a long common part that are not near each other: few of them meet, and every link is found."""
+    common = sentence(40, 10**6).split()
+    texts = [" ".join([*common, *sentence(40, 10**6).split()]) for _ in range(600)]
+    texts += [t + " more" for t in texts[:50]]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    sets = [shingle_set(t) for t in texts]
+    wanted = {i: sum(i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(len(sets))) for i in range(len(sets))}
+    assert {r.doc_id: r.n_links for r in jaccard.near_duplicates(docs).collect()} == wanted
 
 
 # Decontamination
