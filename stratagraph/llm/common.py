@@ -79,8 +79,10 @@ def labelled_sample(labels: DataFrame, label: str, keep: Column, per_class: int)
 
 
 def sample_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(doc_id, text, label, weight) of the sampled documents, one row for each id. The sample's rows are bounded, so it is broadcast."""
-    return texts(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    """(doc_id, text, label, weight) of the sampled documents, one row for each id: of several the least text. The sample's rows
+    are bounded, so it is broadcast."""
+    found = texts(docs).join(F.broadcast(sample), "doc_id")
+    return found.groupBy("doc_id", "label", "weight").agg(F.min("text").alias("text")).select("doc_id", "text", "label", "weight")
 
 
 def one_task(df: DataFrame, *order: str) -> DataFrame:

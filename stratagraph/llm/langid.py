@@ -5,24 +5,22 @@ documents learnt from; the weights come from a bounded, documented sample (`samp
 for each) by follow-the-regularised-leader with L1 and L2 penalties; a part of that sample held back sets the temperature.
 What is broadcast has 2 ** bits rows of as many numbers as languages.
 
-Defined results: a null text or one without a letter is `und` with score 0; with nothing to learn from all are `und`; more
+Defined results: a null text or one without a letter (of Unicode's categories L) is `und` with score 0; with nothing to learn from all are `und`; more
 languages than `max_languages` raise an error; repeated rows get the same result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, one_task, texts
 
-LETTER = re.compile(r"[^\W\d_]")
 U32 = np.uint32
 
 
@@ -46,11 +44,18 @@ def grams(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
         two = (one[:-1] ^ (one[:-1] >> U32(15))) * U32(0x85EBCA77) + c[1:] * U32(0xC2B2AE3D)
         three = (two[:-1] ^ (two[:-1] >> U32(13))) * U32(0x27D4EB2F) + c[2:] * U32(0x165667B1)
     places = np.concatenate([one, (two ^ (two >> U32(16))) * U32(0x9E3779B1), (three ^ (three >> U32(16))) * U32(0x9E3779B1)]) >> U32(32 - bits)
+    if len(places) < 1 << bits - 4:
+        return np.unique(places.astype(np.int64), return_counts=True)
     counts = np.bincount(places, minlength=1 << bits)
     at = np.flatnonzero(counts)
     return at, counts[at]
 
 
+def has_letter(text: str | None) -> bool:
+    """A character of one of Unicode's letter categories; digits, fractions and numerals are none."""
+    return text is not None and any(map(str.isalpha, text))
+
+
 def _frequencies(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows = np.zeros(1 << bits, np.int64), 0
@@ -130,7 +135,7 @@ def _predict(shared, p: LangParams):
                 batch = whole.slice(lo, 500)
                 names, scores = [], []
                 for text in batch.column("text").to_pylist():
-                    if not languages or text is None or not LETTER.search(text):
+                    if not languages or not has_letter(text):
                         names.append("und")
                         scores.append(0.0)
                         continue
@@ -161,8 +166,13 @@ def train_language(docs: DataFrame, keep: Column, p: LangParams = LangParams()):
     at = np.array(sorted(seen), np.int64)
     idf[at] = np.log((1 + total) / (1 + np.array([seen[i] for i in at.tolist()]))) + 1
     share = max(64, p.sample // len(languages))
-    cuts = F.create_map(*[F.lit(v) for x in languages for v in (x, int(min(1.0, share / sizes[x]) * (1 << 30)))])
-    taken = known.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < cuts[F.col("lang")])
+    # The first of each language in a hashed order. A cut at twice as many, as expected, spares the sort most rows; the rank bounds
+    # them where rows repeat.
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    cuts = F.create_map(*[F.lit(v) for x in languages for v in (x, int(min(1.0, 2 * share / sizes[x]) * (1 << 30)))])
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
+    near = known.withColumn("draw", draw).filter(F.col("draw") < cuts[F.col("lang")])
+    taken = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= share).drop("place", "draw")
     model = one_task(taken, "doc_id", "text").mapInArrow(_train(spark.sparkContext.broadcast((idf, languages)), p), "w binary, temperature double").first()
     return idf, languages, np.frombuffer(model["w"], np.float32).reshape(1 << p.bits, -1), model["temperature"]
 
@@ -174,10 +184,13 @@ def predict_language(docs: DataFrame, model, p: LangParams = LangParams()) -> Da
     return whole.mapInArrow(_predict(shared, p), f"row {docs.schema.simpleString()}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, folds: int = 3, held: int = 1) -> DataFrame:
-    """The rows of `docs`, all columns, whose language is recognised with a probability of `least` or more; a null lang is filled in."""
+def keep_identified(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
+    """The rows of `docs`, all columns, whose language is recognised: those that are not `und`, so with a letter. A null lang is filled
+    in. With nothing to learn from no document can be told from another, and all stay."""
     model = train_language(docs, fold(F.col("doc_id").cast("long"), folds) != held)
-    found = predict_language(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    if not model[1]:
+        return docs
+    found = predict_language(docs, model).filter(F.col("lang_pred") != "und")
     return found.select(*[F.coalesce(F.col("row.lang"), F.col("lang_pred")).alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 

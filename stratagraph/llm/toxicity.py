@@ -1,12 +1,14 @@
 """Toxicity by FTRL-proximal logistic regression on hashed word n-grams and skip-grams.
 
 Features of a text are the set of its words, pairs of neighbours and pairs with one word left out, hashed into 2 ** bits
-places. Training goes over a bounded, documented sample of labelled rows (`per_class` of each class; weights restore the
-classes' shares) in one task, with per-coordinate rates and an L1 penalty that leaves few weights. These are broadcast
-(at most 2 ** bits numbers) and every text is scored as a whole.
+places. Training goes over a bounded, documented sample of labelled rows (`per_class` of each class) in one task, with
+per-coordinate rates and an L1 penalty that leaves few weights. Each sampled text counts once, so that a feature needs the
+same support whatever the size of the table; the intercept is then set right for the classes' shares among all labelled rows.
+The weights are broadcast (at most 2 ** bits numbers) and every text is scored as a whole.
 
 Defined results: null, empty and wordless texts get the score of the intercept alone; without any label of either class
-the score is 0.5 or that of the only class; repeated rows score alike; a document of several labels has the largest.
+the score is 0.5 or that of the only class; repeated rows score alike; a document of several labels has the largest, and of
+several texts under one id the least is learnt from.
 """
 
 from __future__ import annotations
@@ -31,11 +33,11 @@ class Ftrl:
     """Parameters of the learner and the bound of its sample."""
 
     bits: int = 20
-    alpha: float = 1.0
+    alpha: float = 3.0
     beta: float = 1.0
-    #: No less than the epochs: a feature of one text alone, whose gradients add up to less, never gets a weight.
-    l1: float = 8.0
-    l2: float = 1.0
+    #: Twice the epochs: a feature of two texts alone, whose gradients add up to less, never gets a weight.
+    l1: float = 16.0
+    l2: float = 0.1
     epochs: int = 8
     per_class: int = 4096
     skips: int = 1
@@ -72,18 +74,19 @@ def _extract(p: Ftrl):
 def fit(rows: list[tuple[np.ndarray, int, float]], p: Ftrl) -> tuple[np.ndarray, np.ndarray, float]:
     """(places of weights that are not 0, weights, intercept) by FTRL-proximal over the rows (features, label, weight)."""
     z, n = np.zeros(1 << p.bits), np.zeros(1 << p.bits)
-    positive, total = sum(w for _, y, w in rows if y), sum(w for _, _, w in rows)
-    prior = min(max(positive / total, 1e-3), 1 - 1e-3) if total else 0.5
-    bias, bias_n = math.log(prior / (1 - prior)), 0.0
+    odds = lambda share: math.log(min(max(share, 1e-3), 1 - 1e-3) / (1 - min(max(share, 1e-3), 1 - 1e-3)))
+    sampled = odds(sum(y for _, y, _ in rows) / len(rows)) if rows else 0.0
+    stood_for = odds(sum(w for _, y, w in rows if y) / sum(w for _, _, w in rows)) if rows else 0.0
+    bias, bias_n = sampled, 0.0
 
     def weights(i: np.ndarray) -> np.ndarray:
         zi = z[i]
         return np.where(np.abs(zi) <= p.l1, 0.0, -(zi - np.sign(zi) * p.l1) / ((p.beta + np.sqrt(n[i])) / p.alpha + p.l2))
 
     for _ in range(p.epochs):
-        for found, y, weight in rows:
+        for found, y, _ in rows:
             w = weights(found)
-            g = (1 / (1 + math.exp(-min(max(bias + w.sum(), -35), 35))) - y) * weight
+            g = 1 / (1 + math.exp(-min(max(bias + w.sum(), -35), 35))) - y
             before = n[found]
             z[found] += g - (np.sqrt(before + g * g) - np.sqrt(before)) / p.alpha * w
             n[found] = before + g * g
@@ -91,7 +94,7 @@ def fit(rows: list[tuple[np.ndarray, int, float]], p: Ftrl) -> tuple[np.ndarray,
             bias -= 0.1 * p.alpha * g / (p.beta + math.sqrt(bias_n))
     w = weights(np.arange(1 << p.bits))
     at = np.flatnonzero(w)
-    return at, w[at], bias
+    return at, w[at], bias + stood_for - sampled
 
 
 def _train(p: Ftrl):

@@ -319,8 +319,8 @@ def test_quality_learns_from_whole_texts():
     for sample_bytes in (6 << 20, 1 << 19):
         p = quality.ZstdParams(sample_bytes=sample_bytes)
         sizes = quality.Sizes(*(quality._dictionary([opening + t for t in part[1:]], p) for part in tails), p)
-        assert sizes.measures(tails[0][0])[0] > 0.02
-        assert sizes.measures(tails[1][0])[0] < -0.02
+        assert sizes.difference(tails[0][0]) > 0.005
+        assert sizes.difference(tails[1][0]) < -0.005
 
 
 # Tokens
@@ -432,6 +432,159 @@ def test_quality_learns(spark):
     assert np.mean([r.predicted == (r.doc_id % 3 > 0) for r in out]) > 0.95
 
 
+def brute_ftrl(rows, size, classes, p, link):
+    """FTRL-proximal one number at a time: (weights, and for each row in turn the margins before its step)."""
+    z, n, margins = collections.defaultdict(float), collections.defaultdict(float), []
+
+    def weight(k):
+        if abs(z[k]) <= p.l1:
+            return 0.0
+        return -(z[k] - math.copysign(p.l1, z[k])) / ((p.beta + math.sqrt(n[k])) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for row in rows:
+            own = [{i: weight((i, c)) for i in row[0]} for c in range(classes)]
+            m = [sum(own[c][i] * x for i, x in zip(row[0], row[1], strict=True)) for c in range(classes)]
+            margins.append(m)
+            for c, g in enumerate(link(m, row)):
+                for i, x in zip(row[0], row[1], strict=True):
+                    step = g * x
+                    sigma = (math.sqrt(n[i, c] + step * step) - math.sqrt(n[i, c])) / p.alpha
+                    z[i, c] += step - sigma * own[c][i]
+                    n[i, c] += step * step
+    return {k: w for k in list(z) if (w := weight(k))}
+
+
+def test_toxicity_is_ftrl():
+    p = toxicity.Ftrl(bits=6, l1=0.3, epochs=3)
+    rows = [(np.unique(rng.integers(0, 64, 6)), int(rng.integers(0, 2)), 1.0 + (i % 2)) for i in range(40)]
+    at, w, bias = toxicity.fit(rows, p)
+    state = {"b": math.log(np.mean([y for _, y, _ in rows]) / (1 - np.mean([y for _, y, _ in rows]))), "n": 0.0}
+    start = state["b"]
+
+    def link(m, row):
+        g = 1 / (1 + math.exp(-(m[0] + state["b"]))) - row[2]
+        state["n"] += g * g
+        state["b"] -= 0.1 * p.alpha * g / (p.beta + math.sqrt(state["n"]))
+        return [g]
+
+    wanted = brute_ftrl([(f.tolist(), [1.0] * len(f), y) for f, y, _ in rows], 64, 1, p, link)
+    assert np.allclose([wanted.get((i, 0), 0.0) for i in range(64)], np.bincount(at, w, minlength=64))
+    share = sum(w for _, y, w in rows if y) / sum(w for _, _, w in rows)
+    assert abs(bias - (state["b"] + math.log(share / (1 - share)) - start)) < 1e-9
+
+
+def test_toxicity_scores_by_its_weights(spark, docs, labels):
+    """Each text's score is the logistic of the intercept and the weights of its different words, pairs and skip-pairs."""
+    p = toxicity.Ftrl(l1=0.1)
+    at, w, bias = toxicity.train_toxicity(docs, labels, p=p)
+    weights = dict(zip(at.tolist(), w.tolist(), strict=True))
+    assert weights
+    name = lambda text: toxicity.features(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), p.bits, p.skips)[1].tolist()
+    for r in docs.join(toxicity.score_toxicity(docs, (at, w, bias), p).withColumnRenamed("score", "found"), "doc_id").filter("doc_id > 0").collect():
+        x = words(r.text)
+        every = {name(x[i])[0] for i in range(len(x))}
+        for gap in (1, 2):
+            for i in range(len(x) - gap):
+                three = name(" ".join(x[i : i + gap + 1]))  # words, then pairs, then the skip-pair
+                every.add(three[gap + 1] if gap == 1 else three[-1])
+        margin = bias + sum(weights.get(f, 0.0) for f in every)
+        assert abs(r.found - 1 / (1 + math.exp(-max(-35, min(35, margin))))) < 1e-9
+
+
+def test_language_is_multinomial_ftrl():
+    p = langid.LangParams(bits=6, epochs=2)
+    rows = [(np.unique(rng.integers(0, 64, 8)), None, int(rng.integers(0, 3))) for _ in range(40)]
+    rows = [(at, rng.uniform(0.1, 1, len(at)), y) for at, _, y in rows]
+    w, temperature = langid.fit(rows, 3, p)
+
+    def link(m, row):
+        e = [math.exp(x - max(m)) for x in m]
+        return [x / sum(e) - (c == row[2]) for c, x in enumerate(e)]
+
+    wanted = brute_ftrl([(a.tolist(), x.tolist(), y) for i, (a, x, y) in enumerate(rows) if i % 8], 64, 3, p, link)
+    assert np.allclose([[wanted.get((i, c), 0.0) for c in range(3)] for i in range(64)], w)
+    assert (w == 0).any() and (w != 0).any()
+
+    def loss(t):
+        out = 0.0
+        for at, x, y in rows[::8]:
+            m = (x @ w[at]) / t
+            out -= m[y] - m.max() - math.log(np.exp(m - m.max()).sum())
+        return out
+
+    grid = np.exp(np.linspace(math.log(0.05), math.log(20), 400))
+    assert loss(temperature) <= min(map(loss, grid)) + 1e-6
+
+
+def test_language_by_tf_idf(spark, docs):
+    """Document frequencies over all rows learnt from, and the vector of a text, gram by gram."""
+    p = langid.LangParams()
+    idf, languages, w, temperature = langid.train_language(docs, langid.F.lit(True), p)
+    given = [r for r in docs.collect() if r.lang is not None]
+    assert languages == sorted({r.lang for r in given})
+    assert w.shape == (1 << p.bits, len(languages)) and temperature > 0
+    seen = collections.Counter(i for r in given for i in langid.grams(r.text or "", p.bits)[0].tolist())
+    assert np.allclose([idf[i] for i in seen], [math.log((1 + len(given)) / (1 + n)) + 1 for n in seen.values()])
+    for text in ("abc", "a", "", "Ünï"):
+        c = f" {text.lower()} "
+        at, n = langid.grams(text, p.bits)
+        assert n.sum() == sum(max(len(c) - k + 1, 0) for k in (1, 2, 3))
+        own, x = langid._vector(text, np.ones(1 << p.bits), p.bits)
+        assert np.allclose(x, (1 + np.log(n)) / np.sqrt(((1 + np.log(n)) ** 2).sum()))
+
+
+def test_no_letter_is_undetermined(spark):
+    data = [(i, t, "en") for i, t in enumerate(["½", "²", "①", "Ⅷ", "৴", "123 ...", "", " ", "🙂", "a1", "é", "ª", "語", "²x"])] + [(99, None, "en")]
+    found = {r.doc_id: r.lang_pred for r in langid.language_id(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    assert {i for i, x in found.items() if x == "und"} == {0, 1, 2, 3, 4, 5, 6, 7, 8, 99}
+
+
+def test_quality_is_the_calibrated_difference(spark, docs, labels):
+    """Scores recomputed from the model: sizes by zstandard with either dictionary, block by block, and the curve."""
+    import zstandard
+
+    good, bad, (slope, intercept) = quality.train_quality(docs, labels)
+    assert good and bad
+    packers = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in (good, bad)]
+    found = quality.score_quality(docs, (good, bad, [slope, intercept]))
+    assert found.columns == ["doc_id", "score", "difference"]
+    by_id = {r.doc_id: r for r in found.collect()}
+    for r in docs.filter("doc_id > 0").collect():
+        raw = (r.text or "").encode()
+        sizes = [sum(len(x.compress(raw[i : i + 512])) for i in range(0, len(raw), 512)) for x in packers]
+        wanted = (sizes[1] - sizes[0]) / len(raw) if raw else 0.0
+        assert abs(by_id[r.doc_id].difference - wanted) < 1e-12
+        assert abs(by_id[r.doc_id].score - 1 / (1 + math.exp(-max(-35, min(35, slope * wanted + intercept))))) < 1e-9
+
+
+def test_calibration_is_the_likeliest_curve():
+    x = rng.normal(size=400)
+    y, weight = (rng.uniform(size=400) < 1 / (1 + np.exp(-(2 * x - 0.5)))).astype(float), rng.uniform(0.5, 2, 400)
+    a, b = quality.calibrate(x, y, weight)
+    loss = lambda a, b: float((weight * np.logaddexp(0, -(2 * y - 1) * (a * x + b))).sum())
+    assert all(loss(a, b) <= loss(a + i, b + j) + 0.02 for i in (-0.05, 0, 0.05) for j in (-0.05, 0, 0.05))
+
+
+def test_repetition_is_bad_text(spark):
+    """By the difference alone: text that only repeats itself stands below good text."""
+    texts = [sentence(150) if i % 4 else " ".join([sentence(1)] * 200) for i in range(600)]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(600)], "doc_id long, quality int")
+    out = quality.quality(docs, labels).filter("held_out").collect()
+    assert np.mean([r.predicted == (r.doc_id % 4 > 0) for r in out]) > 0.95
+
+
+def test_one_text_for_a_repeated_id(spark):
+    """What is learnt from does not depend on the order of rows."""
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (1, 0)], "doc_id long, toxic int")
+    from stratagraph.llm.common import labelled_sample, sample_texts
+
+    sample = labelled_sample(labels, "toxic", langid.F.lit(True), 10)
+    assert sorted((r.doc_id, r.text, r.label) for r in sample_texts(docs, sample).collect()) == [(1, "a", 1), (2, "c", 0)]
+
+
 def test_language(spark, docs, empty):
     out = pairs(docs, langid.language_id(docs), "doc_id", "held_out", "lang_pred", "score")
     none = {r.doc_id for r in docs.collect() if not any(c.isalpha() for c in r.text or "")}
@@ -446,6 +599,8 @@ def test_language(spark, docs, empty):
     assert found.filter("lang = lang_pred").count() == found.count() > 0
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns
+    assert kept.count() == sum(any(map(str.isalpha, r.text or "")) for r in docs.select("text").collect())
+    assert langid.keep_identified(docs.drop("lang").selectExpr("*", "cast(null as string) as lang")).count() == docs.count()
 
 
 # Neighbours
