@@ -11,10 +11,13 @@ covers is removed. No place is compared with all others:
    first sort, only suffixes whose rank is still shared are sorted again, by the rank of the suffix that many bytes on. The
    common prefixes of neighbours come from Kasai's observation that a prefix shortens by at most one from a place to the
    next: only places where the preceding bytes differ are compared. Neighbours with `window` bytes in common repeat.
-4. An anchor of many different segments is split over shards; each gives its sorted distinct windows, and shards are merged by
-   binary search of one's windows in the others'.
+4. An anchor of many different segments is split over shards. Each shard's distinct windows, sorted by their digests, are its
+   run; the run is cut at as many equal steps as there are shards, by binary search, and what lies in one step of all runs meets.
+   There run after run is merged into those before it: where each of its windows belongs is found by binary search, and a window
+   found there repeats in both shards.
 
-Segments are told apart by 128 bits of hashes; windows of one shard by their bytes; windows across shards by 128 bits.
+Segments of one anchor string are told apart by 64 bits of hashes and their length; texts by 128 bits of SHA-256; windows of one
+shard by their bytes; windows across shards by 128 bits.
 
 Defined results: null is the empty text; texts shorter than a window keep all; equal texts of a window or more lose all; matches
 never cross texts; repeats inside one text count, overlapping or not; ids may be null or repeat.
@@ -32,10 +35,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, grouped, large_binary, text_steps, texts, width
-from .textnum import powers, span_hashes
+from .textnum import mix, powers, span_hashes
 
 U64 = np.uint64
-KEY = "V16"
 
 
 @dataclass(frozen=True)
@@ -44,7 +46,15 @@ class Repeats:
     gram: int = 64
     #: Bytes of segments in one suffix array, and different segments of one anchor before it is split.
     shard: int = 2 << 20
-    split: int = 8192
+    split: int = 1024
+    #: One text in `sample` tells which anchors are so common that their segments are dealt to all tasks: those of `hot` or more
+    #: different segments there, 4,096 anchors at most. It only says how to deal, never what is found.
+    sample: int = 64
+    hot: int = 64
+
+    def __post_init__(self) -> None:
+        if not 0 < self.window - self.gram < 1 << 16:
+            raise ValueError("the window must be longer than the anchor string, by less than 65536")
 
 
 # Suffix arrays
@@ -179,9 +189,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, p: Repeats) -> tuple[np.ndarr
 _PACKED = "part int, keys binary, owner binary, start binary, size binary, anchor binary, segment binary, done binary"
 
 
-def _pack_anchors(p: Repeats, parts: int):
+def _pack_anchors(p: Repeats, parts: int, hot: np.ndarray):
     """Anchors in packed rows, one for each part; of those whose segment was met already in the same step, `done` is 1, and
-    only one of equal ones goes to the anchor's own part."""
+    only one of equal ones goes on to the anchor's own part or, if the anchor is hot, to the segment's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -195,7 +205,7 @@ def _pack_anchors(p: Repeats, parts: int):
             done = np.zeros(len(order), np.uint8)
             done[order[same | np.r_[same[1:], False]]] = 1
             done[order[same]] = 2  # not the first of its kind: it has its answer and no one needs it
-            to = (anchor % U64(parts)).astype(np.int64)
+            to = (np.where(np.isin(anchor, hot), mix(anchor ^ segment * U64(0xD6E8FEB86659FD93)), anchor) % U64(parts)).astype(np.int64)
             again = np.flatnonzero(done == 2)
             to[again] = np.arange(len(again)) % parts
             by = np.argsort(to, kind="stable")
@@ -205,7 +215,7 @@ def _pack_anchors(p: Repeats, parts: int):
                 own = by[at[part] : at[part + 1]]
                 if len(own):
                     used, index = np.unique(owner[own], return_inverse=True)
-                    rows.append((part, keys[used].tobytes(), index.astype(np.int32).tobytes(), start[own].astype(np.int32).tobytes(), (end - start)[own].astype(np.uint8).tobytes(), anchor[own].tobytes(), segment[own].tobytes(), done[own].tobytes()))
+                    rows.append((part, keys[used].tobytes(), index.astype(np.int32).tobytes(), start[own].astype(np.int32).tobytes(), (end - start)[own].astype(np.uint16).tobytes(), anchor[own].tobytes(), segment[own].tobytes(), done[own].tobytes()))
             names = [c.split()[0] for c in _PACKED.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(zip(*rows, strict=True))], names=names)
 
@@ -230,12 +240,36 @@ def _pack_anchors(p: Repeats, parts: int):
 _PLACES = "key binary, start int, size int, anchor long, kind int, kinds int"
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sampled(p: Repeats):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in text_steps(batch):
+                *_, anchor, segment = anchors(data, offsets, p)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64))], names=["anchor", "segment"])
+
+    return run
+
+
+def hot_anchors(different: DataFrame, p: Repeats) -> dict[int, int]:
+    """(anchor, how many different segments it may have) of the commonest anchors, judged by a sample of texts."""
+    some = different.filter(F.pmod(F.xxhash64("key"), F.lit(p.sample)) == 0).select("text").mapInArrow(_sampled(p), "anchor long, segment long")
+    counted = some.groupBy("anchor").agg(F.count_distinct("segment").alias("n")).filter(F.col("n") >= p.hot)
+    return {r.anchor & (2**64 - 1): r.n * p.sample for r in counted.orderBy(F.desc("n"), "anchor").limit(4096).collect()}
+
+
+def _meet(hot: dict[int, int]):
     """Of all anchors of a part: kind 0, segments that occur twice; where an anchor has several segments, one of each: kind 1 if
-    it occurs once, 2 if it has its answer."""
-    rows = [r for b in batches for r in b.to_pylist()]
-    if not rows:
-        return
+    it occurs once, 2 if it has its answer. A hot anchor's segments are in many parts, and their number is the sample's."""
+    names, sizes = np.array(sorted(hot), U64), np.array([hot[k] for k in sorted(hot)], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, ["part"]):
+            yield from _met(group.to_pylist(), names, sizes)
+
+    return run
+
+
+def _met(rows: list[dict], hot: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
     keys, owner, at = [], [], 0
     for r in rows:
         own = np.frombuffer(r["keys"], np.uint8).reshape(-1, 16)
@@ -243,7 +277,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner.append(np.frombuffer(r["owner"], np.int32) + at)
         at += len(own)
     keys_, owner_ = np.concatenate(keys), np.concatenate(owner)
-    start, size, anchor, segment, done = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("start", np.int32), ("size", np.uint8), ("anchor", U64), ("segment", U64), ("done", np.uint8)))
+    start, size, anchor, segment, done = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("start", np.int32), ("size", np.uint16), ("anchor", U64), ("segment", U64), ("done", np.uint8)))
     again = done == 2
 
     def out(which: np.ndarray, kind: int, kinds) -> Iterator[pa.RecordBatch]:
@@ -265,40 +299,79 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     head = order[new]
     family = (np.cumsum(new_anchor) - 1)[new]
     kinds = np.bincount(family)[family]
+    if len(hot):
+        known = np.minimum(np.searchsorted(hot, anchor[head]), len(hot) - 1)
+        kinds = np.where(hot[known] == anchor[head], np.maximum(sizes[known], 2), kinds)
     for kind, mine in ((1, ~many), (2, many)):
         some = np.flatnonzero((kinds > 1) & mine)
         yield from out(head[some], kind, kinds[some])
 
 
+_BODIES = "key binary, start int, anchor long, kind int, salt int, shards int, body binary"
+
+
 def _segments(p: Repeats):
+    names = [c.split()[0] for c in _BODIES.split(", ")]
+    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+    def table(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], t) for i, t in enumerate(kinds)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, starts, anchors_, kinds_, salts, bodies = [], [], [], [], [], []
+            held: list[tuple] = []
             for key, text, places in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("places").to_pylist(), strict=True):
                 for x in places:
                     body = text[x["start"] : x["start"] + x["size"] + p.window - 1]
                     shards = -(-x["kinds"] // p.split)
-                    keys.append(key)
-                    starts.append(x["start"])
-                    anchors_.append(x["anchor"])
-                    kinds_.append(x["kind"])
-                    salts.append(int.from_bytes(hashlib.blake2b(body, digest_size=4).digest()) % shards if shards > 1 else -1)
-                    bodies.append(body)
-                    if len(bodies) >= 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int32()), pa.array(anchors_, pa.int64()), pa.array(kinds_, pa.int32()), pa.array(salts, pa.int32()), pa.array(bodies, pa.binary())], names=["key", "start", "anchor", "kind", "salt", "body"])
-                        keys, starts, anchors_, kinds_, salts, bodies = [], [], [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int32()), pa.array(anchors_, pa.int64()), pa.array(kinds_, pa.int32()), pa.array(salts, pa.int32()), pa.array(bodies, pa.binary())], names=["key", "start", "anchor", "kind", "salt", "body"])
+                    salt = int.from_bytes(hashlib.blake2b(body, digest_size=4).digest()) % shards if shards > 1 else -1
+                    held.append((key, x["start"], x["anchor"], x["kind"], salt, shards, body))
+                    if len(held) >= 20_000:
+                        yield table(held)
+                        held = []
+            yield table(held)
 
     return run
 
 
-_FOUND = "key binary, a int, b int, digest binary, shard long"
+def merged_runs(runs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Of each run (upper and lower halves of different digests, in the order of the upper) which are in another run too.
+
+    Two runs at a time become one: binary search of the second's digests in the first says which are there, and where the others
+    go."""
+    hit = [np.zeros(len(high), bool) for high, _ in runs]
+    flat, first = np.concatenate(hit or [np.zeros(0, bool)]), np.cumsum([0] + [len(h) for h in hit])
+    left = [(high, low, np.arange(first[k], first[k + 1])) for k, (high, low) in enumerate(runs)]
+    while len(left) > 1:
+        pairs = [(*left[k], *left[k + 1]) for k in range(0, len(left) - 1, 2)]
+        left = left[len(left) & ~1 :]
+        for high, low, who, high2, low2, who2 in pairs:
+            lo, hi = np.searchsorted(high, high2, side="left"), np.searchsorted(high, high2, side="right")
+            there, k, open_ = np.full(len(high2), -1), 0, np.flatnonzero(hi > lo)
+            while len(open_):  # of equal upper halves, hardly ever more than one
+                at = lo[open_] + k
+                same = low[at] == low2[open_]
+                there[open_[same]] = at[same]
+                k += 1
+                open_ = open_[~same]
+                open_ = open_[lo[open_] + k < hi[open_]]
+            found, fresh = np.flatnonzero(there >= 0), np.flatnonzero(there < 0)
+            flat[who[there[found]]] = flat[who2[found]] = True
+            left.append((np.insert(high, hi[fresh], high2[fresh]), np.insert(low, hi[fresh], low2[fresh]), np.insert(who, hi[fresh], who2[fresh])))
+    return [flat[first[k] : first[k + 1]] for k in range(len(runs))]
+
+
+#: Repeated starts (key, a, b), or a step of a shard's run: digests in their order, and of each its place and whether it asks; `key`
+#: then joins the keys of those that ask.
+_FOUND = "key binary, a int, b int, anchor long, step int, shard int, digests binary, places binary, asks binary"
+_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
+_TYPES = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def _suffixes(p: Repeats):
-    """Repeated starts (key, a, b) of the segments of whole anchors; for parts of a split one also its distinct windows."""
+    """Repeated starts (key, a, b) of the segments of whole anchors; for shards of a split one also the steps of their runs."""
 
-    def search(rows: list[dict], split: bool) -> Iterator[dict]:
+    def search(rows: list[dict], shards: int) -> Iterator[dict]:
         bodies = [r["body"] for r in rows]
         repeats, whole, fresh, ends = repeated_starts(bodies, p.window)
         begin = 0
@@ -308,19 +381,23 @@ def _suffixes(p: Repeats):
                 for x, y in zip(a.tolist(), b.tolist(), strict=True):
                     yield {"key": r["key"], "a": r["start"] + x, "b": r["start"] + y}
             begin = end
-        if split:
-            joined = b"".join(bodies)
-            shard = hash((rows[0]["anchor"], rows[0]["salt"])) & (2**62 - 1)
-            for at in whole[fresh].tolist():
-                k = int(np.searchsorted(ends, at, side="right"))
-                r = rows[k]
-                place = r["start"] + at - (int(ends[k]) - len(r["body"]))
-                asks = r["kind"] == 1 and not repeats[at]
-                yield {"key": r["key"] if asks else None, "a": place, "b": place + 1, "digest": hashlib.blake2b(joined[at : at + p.window], digest_size=16).digest(), "shard": shard}
+        if shards > 1:
+            joined, at = b"".join(bodies), whole[fresh].astype(np.int64)
+            digests = np.frombuffer(b"".join(hashlib.blake2b(joined[i : i + p.window], digest_size=16).digest() for i in at.tolist()), U64).reshape(-1, 2)
+            order = np.argsort(digests[:, 0], kind="stable")
+            digests, at = np.ascontiguousarray(digests[order]), at[order]
+            owner = np.searchsorted(ends, at, side="right")
+            lengths, starts, kinds = (np.array([f(r) for r in rows]) for f in (lambda r: len(r["body"]), lambda r: r["start"], lambda r: r["kind"]))
+            places = (starts[owner] + at - (ends[owner] - lengths[owner])).astype(np.int32)
+            asks = ((kinds[owner] == 1) & ~repeats[at]).astype(np.uint8)
+            keys = np.frombuffer(b"".join(r["key"] for r in rows), np.uint8).reshape(-1, 16)
+            steps = np.searchsorted(digests[:, 0], np.array([(k << 64) // shards for k in range(1, shards)], U64))
+            for step, (x, y) in enumerate(zip([0, *steps.tolist()], [*steps.tolist(), len(at)], strict=True)):
+                if y > x:
+                    yield {"key": keys[owner[x:y][asks[x:y] > 0]].tobytes(), "anchor": rows[0]["anchor"], "step": step, "shard": rows[0]["salt"], "digests": digests[x:y].tobytes(), "places": places[x:y].tobytes(), "asks": asks[x:y].tobytes()}
 
     def table(found: list[dict]) -> pa.RecordBatch:
-        kinds = (("key", pa.binary()), ("a", pa.int32()), ("b", pa.int32()), ("digest", pa.binary()), ("shard", pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([f.get(c) for f in found], t) for c, t in kinds], names=[c for c, _ in kinds])
+        return pa.RecordBatch.from_arrays([pa.array([f.get(c) for f in found], t) for c, t in zip(_NAMES, _TYPES, strict=True)], names=_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[dict] = []
@@ -328,40 +405,35 @@ def _suffixes(p: Repeats):
         size = 0
         for group in grouped(batches, ["anchor", "salt"]):
             rows = group.to_pylist()
-            if rows[0]["salt"] >= 0:
-                found += search(rows, True)
+            split = rows[0]["salt"] >= 0
+            if split:
+                found += search(rows, rows[0]["shards"])
             else:
                 waiting += rows
                 size += sum(len(r["body"]) for r in rows)
             if size > p.shard:
-                found += search(waiting, False)
+                found += search(waiting, 1)
                 waiting, size = [], 0
-            if len(found) > 20_000:
+            if split or len(found) > 20_000:
                 yield table(found)
                 found = []
         if waiting:
-            found += search(waiting, False)
+            found += search(waiting, 1)
         yield table(found)
 
     return run
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of a shard that asks, found in another shard's sorted run by binary search."""
-    held = list(batches)
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    raw, _ = large_binary(table.column("digest"))
-    digests = raw.reshape(-1, 16).copy().view(">u8").astype(U64)
-    shards = table.column("shard").to_numpy()
-    order = np.lexsort((shards, digests[:, 1], digests[:, 0]))
-    high, low = digests[order, 0], digests[order, 1]
-    asks = np.flatnonzero(~np.asarray(table.column("key").is_null())[order])
-    # Each shard's run is part of the sorted whole: a digest of two shards has neighbours of its own.
-    left, right = np.searchsorted(high, high[asks], side="left"), np.searchsorted(high, high[asks], side="right")
-    hit = [i for i, x, y in zip(asks.tolist(), left.tolist(), right.tolist(), strict=True) if y - x > 1 and np.count_nonzero(low[x:y] == low[i]) > 1]
-    yield from table.take(pa.array(order[hit], pa.int64())).select(["key", "a", "b"]).combine_chunks().to_batches()
+    """The same step of the runs of all shards of an anchor: windows that ask and are in another run too."""
+    for group in grouped(batches, ["anchor", "step"]):
+        rows = group.to_pylist()
+        halves = [np.frombuffer(r["digests"], U64).reshape(-1, 2) for r in rows]
+        for r, hit in zip(rows, merged_runs([(x[:, 0], x[:, 1]) for x in halves]), strict=True):
+            asks = np.frombuffer(r["asks"], np.uint8) > 0
+            own, places = hit[asks], np.frombuffer(r["places"], np.int32)[asks]
+            keys = [r["key"][16 * i : 16 * i + 16] for i in np.flatnonzero(own).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(places[own], pa.int32()), pa.array(places[own] + 1, pa.int32())], names=["key", "a", "b"])
 
 
 def covered(length: int, places: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
@@ -387,15 +459,17 @@ def find_repeats(docs: DataFrame, p: Repeats = Repeats()) -> tuple[DataFrame, Da
     parts = width(spark)
     long_texts = texts(docs).filter(F.octet_length("text") >= p.window).select(key_of(F.col("text")).alias("key"), "text")
     different = cut(long_texts.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("n")), "repeats-texts")
-    packed = different.select("key", "text").mapInArrow(_pack_anchors(p, parts), _PACKED)
-    places = cut(packed.repartition(parts, "part").mapInArrow(_meet, _PLACES), "repeats-places")
+    hot = hot_anchors(different, p)
+    # More parts than tasks: a task takes one after another.
+    fine = max(parts, min(4 * parts, 4096))
+    packed = different.select("key", "text").mapInArrow(_pack_anchors(p, fine, np.array(sorted(hot), U64)), _PACKED)
+    places = cut(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meet(hot), _PLACES), "repeats-places")
     asked = places.filter("kind > 0").groupBy("key").agg(F.collect_list(F.struct("start", "size", "anchor", "kind", "kinds")).alias("places"))
-    bodies = different.select("key", "text").join(asked, "key").mapInArrow(_segments(p), "key binary, start int, anchor long, kind int, salt int, body binary")
+    bodies = different.select("key", "text").join(asked, "key").mapInArrow(_segments(p), _BODIES)
     found = cut(bodies.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_suffixes(p), _FOUND), "repeats-found")
-    windows = found.filter("digest is not null")
-    merged = windows.repartition(parts, "digest").mapInArrow(_merge, "key binary, a int, b int")
+    steps = found.filter("digests is not null").repartition(parts, "anchor", "step").sortWithinPartitions("anchor", "step", "shard")
     starts = places.filter("kind = 0").select("key", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
-    return different, starts.union(found.filter("digest is null").select("key", "a", "b")).union(merged)
+    return different, starts.union(found.filter("digests is null").select("key", "a", "b")).union(steps.mapInArrow(_merge, "key binary, a int, b int"))
 
 
 def _remove(p: Repeats, whole_characters: bool):

@@ -134,20 +134,80 @@ def brute_removal(texts, window):
     return out
 
 
-@pytest.mark.parametrize("split", [4096, 2])
-def test_suffix_dedup(docs, empty, split):
-    p = suffix_dedup.Repeats(split=split)
+@pytest.mark.parametrize("p", [suffix_dedup.Repeats(), suffix_dedup.Repeats(split=2), suffix_dedup.Repeats(split=3, sample=1, hot=2)])
+def test_suffix_dedup(docs, empty, p):
     given = docs.select("doc_id", "text").collect()
     wanted = collections.Counter((r.doc_id, *x) for r, x in zip(given, brute_removal([r.text for r in given], 200), strict=True))
     assert collections.Counter(map(tuple, suffix_dedup.remove_repeats(docs, p).collect())) == wanted
     assert suffix_dedup.remove_repeats(empty, p).count() == 0
 
 
-def test_strip_repeats(docs, empty):
-    out = suffix_dedup.strip_repeats(docs)
+def test_common_passage_over_shards(spark):
+    """One passage in many texts with other surroundings, so that windows across its ends repeat in some: dealt to shards, hot or not."""
+    passage, around = sentence(120), [sentence(30) for _ in range(12)]
+    texts = [f"{around[i % 12]} {passage} {around[(i // 12 + i) % 12]} {i}" for i in range(120)]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    wanted = collections.Counter((i, *x) for i, x in enumerate(brute_removal(texts, 200)))
+    for p in (suffix_dedup.Repeats(split=4), suffix_dedup.Repeats(split=4, sample=1, hot=2), suffix_dedup.Repeats(split=4, sample=4, hot=3)):
+        assert collections.Counter(map(tuple, suffix_dedup.remove_repeats(docs, p).collect())) == wanted
+
+
+def test_long_window_and_text(spark):
+    """Windows and runs of more than 255 bytes, and texts beyond one step of a megabyte."""
+    block = "".join(rng.choice(list("abcdefgh"), 1500))
+    long = "".join(rng.choice(list("abcdefghijklmnop"), 1_300_000))
+    texts = [long[:700_000] + block + long[700_000:], "x" + block, block[200:1400], long[1_299_000:] + "!"]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    p = suffix_dedup.Repeats(window=600, gram=100)
+    found = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs, p).collect()}
+    assert found == {0: (1500 + 1000, 2), 1: (1500, 1), 2: (1200, 1), 3: (1000, 1)}
+    with pytest.raises(ValueError):
+        suffix_dedup.Repeats(window=64, gram=64)
+
+
+def test_runs_are_merged():
+    for _ in range(50):
+        pool = rng.integers(0, 2**63, (60, 2)).astype(np.uint64)
+        pool[:20, 0] = pool[0, 0]  # equal upper halves
+        runs = [pool[rng.permutation(60)[: int(rng.integers(0, 30))]] for _ in range(int(rng.integers(0, 9)))]
+        runs = [r[np.argsort(r[:, 0], kind="stable")] for r in runs]
+        seen = collections.Counter(tuple(x) for r in runs for x in r.tolist())
+        for r, hit in zip(runs, suffix_dedup.merged_runs([(r[:, 0], r[:, 1]) for r in runs]), strict=True):
+            assert hit.tolist() == [seen[tuple(x)] > 1 for x in r.tolist()]
+
+
+def brute_cut(texts, window):
+    """Texts without the characters all of whose bytes are covered; None where nothing is left."""
+    raw = [(t or "").encode() for t in texts]
+    seen = collections.Counter(b[i : i + window] for b in raw for i in range(len(b) - window + 1))
+    out = []
+    for t, b in zip(texts, raw, strict=True):
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - window + 1):
+            if seen[b[i : i + window]] > 1:
+                gone[i : i + window] = True
+        at, left = 0, []
+        for c in t or "":
+            n = len(c.encode())
+            left.append("" if gone[at : at + n].all() else c)
+            at += n
+        out.append(None if gone.any() and not "".join(left) else "".join(left) if t is not None else "null")
+    return out
+
+
+def test_strip_repeats(spark, docs, empty):
+    given = docs.collect()
+    odd = "é" + "日本語テキスト" * 30
+    more = spark.createDataFrame(rows([odd + "ü", "é" + odd[1:] + "x", "ßé" + odd[3:]], [500, 501, 502]), SCHEMA)
+    every = docs.unionByName(more)
+    texts = [r.text for r in given] + [r.text for r in more.collect()]
+    wanted = collections.Counter((r, t) for r, t in zip([r.doc_id for r in given] + [500, 501, 502], brute_cut(texts, 200), strict=True) if t is not None)
+    out = suffix_dedup.strip_repeats(every)
     assert out.columns == docs.columns and out.dtypes == docs.dtypes
-    left = [r.text for r in out.select("text").collect()]
-    assert all(x[1] == 0 for x in brute_removal([t for t in left if t and len(t.encode()) >= 200], 10**9))
+    left = out.collect()
+    assert collections.Counter((r.doc_id, "null" if r.text is None else r.text) for r in left) == wanted
+    changed = {(r.doc_id, r.text) for r in every.collect()}
+    assert all(r.n_chars == len(r.text) for r in left if (r.doc_id, r.text) not in changed)
     assert suffix_dedup.strip_repeats(empty).count() == 0
 
 
