@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import work_path
 from .common import cut, grouped, width
 
 
@@ -237,8 +238,15 @@ def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, p: Des
     coded = both.join(nodes.withColumnRenamed("node", "v"), "v").select("u", "v", "code")
     # Bucketed by node: no step of the search shuffles the graph again.
     name = f"stratagraph_around_{uuid.uuid4().hex}"
-    coded.repartition(parts, "u").sortWithinPartitions("u", "v").mapInArrow(_around, "u long, others binary, codes binary").write.bucketBy(parts, "u").option("compression", "zstd").saveAsTable(name)
-    around = spark.table(name)
+    listed = coded.repartition(parts, "u").sortWithinPartitions("u", "v").mapInArrow(_around, "u long, others binary, codes binary")
+    listed.write.bucketBy(parts, "u").option("compression", "zstd").option("path", work_path(spark, "ann-around")).saveAsTable(name)
+    try:
+        return _searched(spark.table(name), queries, parts, p)
+    finally:
+        spark.sql(f"drop table {name}")
+
+
+def _searched(around: DataFrame, queries: DataFrame, parts: int, p: Descent) -> DataFrame:
     beams = cut(queries.select("query", "code", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("near"), F.lit(None).cast("binary").alias("opened"), F.array("start").alias("next")), "ann-beam")
     empty = F.lit(b"").cast("binary")
     for _ in range(p.steps):
@@ -249,7 +257,6 @@ def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, p: Des
         beams = cut(rows.repartition(parts, "query").sortWithinPartitions("query").mapInArrow(_advance(p), _BEAM), "ann-beam")
         if not beams.filter(F.size("next") > 0).limit(1).count():
             break
-    spark.sql(f"drop table {name}")
     return beams.select("query", "ids")
 
 

@@ -1,10 +1,11 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
 The pretrained model is a trie of byte contexts of up to `order` bytes with the counts of what followed them in all training
-texts. A byte is predicted in the longest known context; the probability of escaping to the next shorter one is estimated
-from the number of different bytes seen there (method C), and bytes already seen in the longer context are excluded from the
-shorter one. As the counts stand still, what a context excludes from the next is known beforehand, and whole arrays of bytes
-are scored by table lookups. The code length of a text is that of its bytes (A-Z lower-cased) and its end.
+texts. A byte is predicted in the longest known context. The probability of escaping to the next shorter one is estimated from
+the number of different bytes seen there, each of which gives `DISCOUNT` of its count to the escape (method D, which gives a
+half, generalised), and bytes already seen in the longer context are excluded from the shorter one. As the counts stand still,
+what a context excludes from the next is known beforehand, and whole arrays of bytes are scored by table lookups. The code
+length of a text is that of its bytes (A-Z lower-cased) and its end.
 
 All counts are summed over all training texts, and every one of them is used, whatever the size of the corpus. The commonest
 longest grams, at most `share` of them, are broadcast with their probabilities and settle the bytes that they predict. All
@@ -35,8 +36,8 @@ from .common import cut, fold, large_binary, text_steps, texts, width
 U64 = np.uint64
 #: Bytes that UTF-8 never has: before the first byte of a text, and after the last.
 START, END = 0xFE, 0xFF
-#: What each kind of byte seen in a context gives of its count to the escape (method D gives one half).
-DISCOUNT = 0.5
+#: What each kind of byte seen in a context gives of its count to the escape.
+DISCOUNT = 0.3
 #: Bytes of context that decide the bucket; the orders below are broadcast whole.
 SUFFIX = 3
 #: Different grams of a bucket on average, and bytes scored in one step.

@@ -363,6 +363,65 @@ def test_ppm_uses_every_count(docs):
         assert np.allclose(sorted(r.score for r in out), wanted, atol=1e-5)
 
 
+def brute_ppm(training, text, order):
+    """Natural logarithm of a text's probability, one byte and one context at a time."""
+    seen = collections.defaultdict(collections.Counter)
+    for t in training:
+        own = [ppm.START] * order + list(t) + [ppm.END]
+        for i in range(order, len(own)):
+            for k in range(order + 1):
+                seen[bytes(own[i - k : i])][own[i]] += 1
+    total, own = 0.0, [ppm.START] * order + list(text) + [ppm.END]
+    for i in range(order, len(own)):
+        gone = set()
+        for k in range(order, -1, -1):
+            node = seen.get(bytes(own[i - k : i]))
+            if node is None:
+                continue
+            left = {s: n for s, n in node.items() if s not in gone}
+            if not left:  # certain to escape
+                continue
+            # What the bytes already excluded had given to the escape is left out as their counts are.
+            whole = sum(left.values())
+            if own[i] in left:
+                total += math.log((left[own[i]] - ppm.DISCOUNT) / whole)
+                break
+            total += math.log(ppm.DISCOUNT * len(left) / whole)
+            gone |= set(left)
+        else:
+            total += math.log(1 / (256 - len(gone)))
+    return total
+
+
+def test_ppm_is_brute_force(spark):
+    """The column `score` of held-out and other texts, whatever is broadcast and whatever meets in buckets."""
+    texts = ["".join(rng.choice(list("abcA é"), int(rng.integers(0, 25)))) for _ in range(40)] + ["", "zzz", "abc" * 9, "日本"]
+    given = list(enumerate(texts))
+    low = lambda t: bytes(c + 32 if 65 <= c <= 90 else c for c in t.encode())
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    training = [low(t) for i, t in given if not held(i)]
+    assert 3 < sum(held(i) for i, _ in given) < 30
+    docs = spark.createDataFrame([*given, (100, None)], "doc_id long, text string").repartition(3)
+    for p in (ppm.PpmParams(), ppm.PpmParams(share=8), ppm.PpmParams(order=3, share=1)):
+        found = {r.doc_id: r.score for r in ppm.score_language_model(docs, p=p).collect()}
+        if not held(100):
+            wanted_training = [*training, b""]
+        else:
+            wanted_training = training
+        for i, t in [*given, (100, "")]:
+            assert abs(found[i] * math.log(10) - brute_ppm(wanted_training, low(t), p.order)) < 1e-8, (i, t, p)
+
+
+def test_ppm_on_long_text(spark):
+    """A text of more than a step scores as its parts would: one model, summed byte by byte."""
+    text = sentence(300_000, 50)
+    assert len(text) > 1 << 20
+    docs = spark.createDataFrame([(0, sentence(2000, 50)), (2, text), (1, text)], "doc_id long, text string")
+    found = {r.doc_id: r for r in ppm.score_language_model(docs).collect()}
+    assert found[1].score == pytest.approx(found[2].score) and found[1].n_tokens == 300_001
+    assert found[1].score > found[1].base_score * 1.5
+
+
 def test_ppm_contexts_of_six_bytes(spark):
     texts = [(i, t) for i, t in enumerate(["1abcde1", "2abcde2"] * 30)] + [(1000 + i, "1abcde2") for i in range(20)]
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
