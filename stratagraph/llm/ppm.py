@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold, large_binary, text_steps, texts, width
+from .common import cut, fold, grouped, large_binary, text_steps, texts, width
 
 U64 = np.uint64
 #: Bytes that UTF-8 never has: before the first byte of a text, and after the last.
@@ -47,7 +47,7 @@ BUCKET, STEP = 1 << 19, 1 << 17
 @dataclass(frozen=True)
 class PpmParams:
     order: int = 6
-    share: int = 1 << 20
+    share: int = 1 << 21
     tokens: int = 1 << 18
 
 
@@ -337,8 +337,12 @@ def _deal_grams(buckets: int):
     return run
 
 
-def _predict(shared, order: int):
-    """(row, log): sums of what the bytes of each text cost that met the trie here. Parts come by bucket, its grams first."""
+SUMS = "part int, rows binary, logs binary"
+
+
+def _predict(shared, order: int, parts: int):
+    """Sums of what the bytes of each text cost that met the trie here, packed for the parts that add them up. Input comes by
+    bucket, its grams first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = shared.value
@@ -357,7 +361,12 @@ def _predict(shared, order: int):
             return _summed(np.concatenate([rows, owners]), np.concatenate([logs, found]))
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(logs)], names=["row", "log"])
+            part = ((rows.view(U64) * U64(0x9E3779B97F4A7C15) >> U64(32)) % U64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[order], np.arange(parts + 1))
+            some = np.flatnonzero(np.diff(ends))
+            packed = [[x[order[ends[i] : ends[i + 1]]].tobytes() for i in some] for x in (rows, logs)]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], names=["part", "rows", "logs"])
 
         for batch in batches:
             for bucket, kind, keys, ids, times in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "keys", "ids", "times")), strict=True):
@@ -383,6 +392,15 @@ def _predict(shared, order: int):
     return run
 
 
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, log_left) of each part."""
+    for group in grouped(batches, ["part"]):
+        rows, logs = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("rows", np.int64), ("logs", np.float64)))
+        rows, logs = _summed(rows, logs)
+        for at in range(0, len(rows), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[at : at + 100_000]), pa.array(logs[at : at + 100_000])], names=["row", "log_left"])
+
+
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens of the texts, A-Z lower-cased and split at ASCII white space; the end is the empty token."""
     found: Counter[bytes] = Counter()
@@ -469,7 +487,9 @@ def score_language_model(docs: DataFrame, folds: int = 5, held: int = 1, p: PpmP
     # The bytes that no common gram settled: each meets the whole trie of its bucket.
     parts = scored.select(F.explode("left").alias("l")).select("l.bucket", F.lit(1).alias("kind"), "l.keys", "l.ids", "l.times")
     dealt = counted.mapInArrow(_deal_grams(buckets), PART).unionByName(parts).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    bytes_left = dealt.mapInArrow(_predict(low, p.order), "row long, log double").groupBy("row").agg(F.sum("log").alias("log_left"))
+    adders = 4 * width(spark)
+    sums = dealt.mapInArrow(_predict(low, p.order, adders), SUMS).repartition("part").sortWithinPartitions("part")
+    bytes_left = sums.mapInArrow(_add_up, "row long, log_left double")
     return scored.drop("rare", "left").join(rest, "row", "left").join(bytes_left, "row", "left").select(
         "doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), ((F.col("log") + F.coalesce("log_left", F.lit(0.0))) / math.log(10)).alias("score"),
