@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--learning-rate", type=float, default=c.learning_rate)
     p.add_argument("--self-weight", type=float, default=c.self_weight)
     p.add_argument("--only-coarse", action="store_true")
-    p.add_argument("--coarse-parallel", action="store_true", help="signatures and matching rounds")
+    p.add_argument("--coarse-parallel", action="store_true", help="signatures for equivalence")
     p.add_argument("--coarse-threshold", type=int, default=c.coarse_threshold)
     p.add_argument("--min-hash", type=int, default=c.min_hash)
     p.add_argument("--refine-epochs", type=int, default=c.refine_epochs)

@@ -46,11 +46,12 @@ def coarse_graph(graph: Graph, cmap: DataFrame) -> Graph:
     return Graph(cut(nodes, "coarse-nodes"), edges)
 
 
-def coarsen_once(graph: Graph, most: float, parallel: bool = True, threshold: int = 10_000, k: int = 16, size: int | None = None) -> tuple[DataFrame, Graph]:
-    """One level: equivalent nodes first, then heavy edges among the others. Small graphs are matched in the exact greedy order
-    and by exact neighbour sets, larger ones (or all, if not `parallel`, exactly) by signatures and rounds."""
+def coarsen_once(graph: Graph, most: float, parallel: bool = True, threshold: int = 10_000, k: int = 16, size: int | None = None, exact_order: bool = False) -> tuple[DataFrame, Graph]:
+    """One level: equivalent nodes first, then heavy edges among the others. Equivalence goes by signatures if `parallel`, else by
+    exact neighbour sets. Graphs of more than `threshold` nodes are matched in rounds, smaller ones (all, with `exact_order`) in
+    the greedy order, in one task."""
     n = size if size is not None else graph.nodes.count()
-    rounds = parallel and n > threshold
+    rounds = n > threshold and not exact_order
     groups = cut(equivalent_minhash(graph, k) if parallel else equivalent_exact(graph), "groups")
     free = cut(graph.nodes.select("node_id").join(groups, "node_id", "left_anti"), "free")
     pairs = heavy_rounds(graph, free, most) if rounds else heavy_sequential(graph, free, most)
@@ -58,7 +59,7 @@ def coarsen_once(graph: Graph, most: float, parallel: bool = True, threshold: in
     return cmap, coarse_graph(graph, cmap)
 
 
-def hierarchy(graph: Graph, factor_log2: int = 2, embed_dim: int = 128, parallel: bool = True, threshold: int = 10_000, k: int = 16, double_base: bool = False) -> list[Level]:
+def hierarchy(graph: Graph, factor_log2: int = 2, embed_dim: int = 128, parallel: bool = True, threshold: int = 10_000, k: int = 16, double_base: bool = False, exact_order: bool = False) -> list[Level]:
     """Levels from the graph itself to the coarsest: until no more than n / 2 ** factor_log2 nodes are left (one level more with
     `double_base`), or a level no longer shrinks. Raises ValueError if the coarsest is no larger than `embed_dim`."""
     graph = Graph(cut(graph.nodes, "nodes"), cut(graph.edges, "edges"))
@@ -69,7 +70,7 @@ def hierarchy(graph: Graph, factor_log2: int = 2, embed_dim: int = 128, parallel
     extra = 1 if double_base else 0
     while size > goal or extra:
         extra -= size <= goal
-        cmap, coarse = coarsen_once(graph, most, parallel, threshold, k, size)
+        cmap, coarse = coarsen_once(graph, most, parallel, threshold, k, size, exact_order)
         n = coarse.nodes.count()
         if n == size:
             break

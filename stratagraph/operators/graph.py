@@ -85,21 +85,23 @@ def dense_index(ids: DataFrame, column: str) -> DataFrame:
     return placed.join(F.broadcast(before), "part").select("ext_id", (F.col("before") + F.col("at")).alias("node_id"))
 
 
-#: Parts that the edges of one node are dealt to where they meet its least neighbour.
-SALTS = 8
-
-
-def stars(edges: DataFrame, name: str = "stars", rounds: int = 60) -> DataFrame:
+def stars(edges: DataFrame, name: str = "stars") -> DataFrame:
     """(node, root) for each node that the edges (a, b) link to another: the least node that can be reached.
 
-    Large-star and small-star steps in turn join nodes to the least of their neighbours until all edges are stars. Only edges
-    are shuffled, a hub's in parts, and every round is written into the shared folder."""
+    Large-star and small-star steps in turn join nodes to the least of their neighbours until all edges are stars, which takes a
+    number of rounds that grows with the logarithm of the nodes. Only edges are shuffled, a hub's in parts (a hub has at least
+    1 / 4096 of all edges, so there are few, and they are broadcast), and every round is written into the shared folder."""
+    spark = edges.sparkSession
     own = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    for _ in range(rounds):
+    while True:
         near = own.union(own.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = near.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-        large = salted.join(least, ["a", "salt"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = cut(near.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n")), name + "-least")
+        crowd = max(1000, own.count() // 4096)
+        hubs = F.broadcast(least.filter(F.col("n") > crowd).select(F.col("a").alias("hub"), F.least(F.ceil(F.col("n") / crowd), F.lit(width(spark))).cast("int").alias("parts")))
+        parts = F.coalesce("parts", F.lit(1))
+        roots = least.select("a", F.least("a", "b").alias("m")).join(hubs, F.col("a") == F.col("hub"), "left").select("a", "m", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        dealt = near.join(hubs, F.col("a") == F.col("hub"), "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+        large = dealt.join(roots, ["a", "part"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Now every edge goes from a node to a smaller one, and a node has few.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
@@ -108,7 +110,6 @@ def stars(edges: DataFrame, name: str = "stars", rounds: int = 60) -> DataFrame:
         ends = own.select(F.col("a").alias("x"), F.lit(1).alias("is_a"), F.lit(0).alias("is_b")).union(own.select("b", F.lit(0), F.lit(1)))
         if not ends.groupBy("x").agg(F.sum("is_a").alias("n"), F.max("is_b").alias("root")).filter("n > 1 or n > 0 and root > 0").limit(1).count():
             return own.select(F.col("a").alias("node"), F.col("b").alias("root")).union(own.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-    raise RuntimeError(f"no end after {rounds} rounds")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

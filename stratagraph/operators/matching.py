@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,39 +79,47 @@ def _eligible(weighted: DataFrame, weights: DataFrame, most: float) -> DataFrame
     return both.filter((F.col("src") != F.col("dst")) & (F.col("ws") + F.col("wd") <= most)).select("src", "dst", "nw")
 
 
-def greedy(weighted: pd.DataFrame, order: pd.DataFrame) -> list[tuple[int, int]]:
-    """Pairs by visiting nodes in order, each taking its heaviest free neighbour (ties to the smaller id)."""
-    lists: dict[int, list[tuple[float, int]]] = {}
-    for s, d, w in zip(weighted.src.tolist(), weighted.dst.tolist(), weighted.nw.tolist(), strict=True):
-        lists.setdefault(s, []).append((-w, d))
-    taken: set[int] = set()
+def greedy(src: np.ndarray, dst: np.ndarray, nw: np.ndarray, nodes: np.ndarray, n_adj: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs by visiting nodes in the order (n_adj, node), each taking its heaviest free neighbour (ties to the smaller id)."""
+    order = np.lexsort((dst, -nw, src))
+    ids = np.unique(np.concatenate([nodes, src, dst]))
+    first = np.searchsorted(src[order], ids).tolist() + [len(src)]
+    to = np.searchsorted(ids, dst[order]).tolist()
+    taken = bytearray(len(ids))
     pairs = []
-    for node in order.sort_values(["n_adj", "node_id"]).node_id.tolist():
-        if node in taken:
+    for node in np.searchsorted(ids, nodes[np.lexsort((nodes, n_adj))]).tolist():
+        if taken[node]:
             continue
-        free = [x for x in lists.get(node, []) if x[1] not in taken]
-        taken.add(node)  # alone, if no neighbour is free
-        if free:
-            other = min(free)[1]
-            taken.add(other)
-            pairs.append((node, other))
-    return pairs
+        taken[node] = 1  # alone, if no neighbour is free
+        for k in range(first[node], first[node + 1]):
+            if not taken[to[k]]:
+                taken[to[k]] = 1
+                pairs.append((node, to[k]))
+                break
+    found = ids[np.array(pairs, np.int64).reshape(-1, 2)]
+    return found[:, 0], found[:, 1]
 
 
-def heavy_sequential(graph: Graph, free: DataFrame, most: float) -> DataFrame:
-    """(a, b): the greedy matching of the free nodes in the order (n_adj, node_id), in one task. For graphs below a threshold."""
-    edges = _among(normalised_weights(graph), free)
-    eligible = _eligible(edges, graph.nodes, most).select(F.col("src").alias("x"), F.col("dst").alias("y"), "nw")
-    order = graph.nodes.join(free, "node_id", "left_semi").select(F.col("node_id").alias("x"), F.lit(None).cast("long").alias("y"), F.col("n_adj").cast("double").alias("nw"))
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The greedy matching of edges (x, y, nw) and nodes (x, no y, n_adj), all of them."""
+    held = [b for b in batches if len(b)]
+    x, y, nw = (pa.chunked_array([b.column(c) for b in held], t) for c, t in (("x", pa.int64()), ("y", pa.int64()), ("nw", pa.float64())))
+    alone = y.is_null()
+    edges, nodes = ([c.filter(keep).to_numpy() for c in (x, y, nw)] for keep in (pc.invert(alone), alone))
+    a, b = greedy(*edges, nodes[0], nodes[2])
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
 
-    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames) or [pd.DataFrame({"x": [], "y": [], "nw": []})])
-        alone = rows.y.isna()
-        edges_ = rows[~alone].rename(columns={"x": "src", "y": "dst"}).astype({"src": "int64", "dst": "int64"})
-        pairs = greedy(edges_, rows[alone].rename(columns={"x": "node_id", "nw": "n_adj"}))
-        yield pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
+def _in_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): the greedy matching of edges (src, dst, nw) in the order of nodes (node_id, n_adj), in one task."""
+    rows = edges.select(F.col("src").alias("x"), F.col("dst").alias("y"), "nw").union(nodes.select("node_id", F.lit(None).cast("long"), F.col("n_adj").cast("double")))
+    return rows.repartition(1).mapInArrow(_matched, "a long, b long")
 
-    return eligible.union(order).repartition(1).mapInPandas(match, "a long, b long")
+
+def heavy_sequential(graph: Graph, free: DataFrame, most: float) -> DataFrame:
+    """(a, b): the greedy matching of the free nodes in the order (n_adj, node_id), in one task. For graphs below a threshold."""
+    edges = _eligible(_among(normalised_weights(graph), free), graph.nodes, most)
+    return _in_order(edges, graph.nodes.join(free, "node_id", "left_semi"))
 
 
 def _among(weighted: DataFrame, free: DataFrame) -> DataFrame:
@@ -126,38 +136,21 @@ def granted_pairs(edges: DataFrame, turn: int) -> DataFrame:
     return granted.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
 
 
-def heavy_rounds(graph: Graph, free: DataFrame, most: float, tail: int = 200_000, rounds: int = 40) -> DataFrame:
+def heavy_rounds(graph: Graph, free: DataFrame, most: float, tail: int = 1_000_000) -> DataFrame:
     """(a, b): mutual heaviest pairs and granted requests in turn, among the nodes still free.
 
-    A round is one or two aggregations of the edges left. Once they are fewer than `tail`, the greedy order finishes them in one
-    task; what `rounds` leaves beyond that stays single, and coarsening goes on with the next level."""
+    A round is one or two aggregations of the edges left; the heaviest of all is mutual, so every other round has a pair. Once
+    `tail` edges or fewer are left (24 bytes each in that task), the greedy order finishes them in one task."""
     edges = cut(_among(_eligible(normalised_weights(graph), graph.nodes, most), free), "heavy-edges")
-    found = None
-    for turn in range(rounds):
-        left = edges.count()
-        if not left:
-            break
-        if left <= tail:
-            order = graph.nodes.select("node_id", "n_adj").join(edges.select(F.col("src").alias("node_id")).distinct(), "node_id", "left_semi")
-            pairs = _finish(edges, order)
-        else:
-            pairs = granted_pairs(edges, turn) if turn % 2 else mutual_pairs(edges)
-        pairs = cut(pairs, "heavy-pairs")
+    found, turn = None, 0
+    while (left := edges.count()) > tail:
+        pairs = cut(granted_pairs(edges, turn) if turn % 2 else mutual_pairs(edges), "heavy-pairs")
         found = pairs if found is None else found.union(pairs)
-        if left <= tail:
-            break
         gone = pairs.select(F.explode(F.array("a", "b")).alias("node"))
         edges = cut(edges.join(gone, edges.src == gone.node, "left_anti").join(gone, edges.dst == gone.node, "left_anti"), "heavy-edges")
+        turn += 1
+    if left:
+        order = graph.nodes.select("node_id", "n_adj").join(edges.select(F.col("src").alias("node_id")).distinct(), "node_id", "left_semi")
+        pairs = cut(_in_order(edges, order), "heavy-pairs")
+        found = pairs if found is None else found.union(pairs)
     return found if found is not None else graph.nodes.sparkSession.createDataFrame([], "a long, b long")
-
-
-def _finish(edges: DataFrame, order: DataFrame) -> DataFrame:
-    rows = edges.select(F.col("src").alias("x"), F.col("dst").alias("y"), "nw").union(order.select("node_id", F.lit(None).cast("long"), F.col("n_adj").cast("double")))
-
-    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every = pd.concat(list(frames))
-        alone = every.y.isna()
-        pairs = greedy(every[~alone].rename(columns={"x": "src", "y": "dst"}).astype({"src": "int64", "dst": "int64"}), every[alone].rename(columns={"x": "node_id", "nw": "n_adj"}))
-        yield pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
-
-    return rows.repartition(1).mapInPandas(match, "a long, b long")

@@ -14,7 +14,7 @@ from .refine import refine_down, refine_model
 
 
 def levels_of(graph: Graph, config: Config) -> list[Level]:
-    return hierarchy(graph, config.coarsen_m, config.embed_dim, config.coarse_parallel, config.coarse_threshold, config.min_hash, config.double_base)
+    return hierarchy(graph, config.coarsen_m, config.embed_dim, config.coarse_parallel, config.coarse_threshold, config.min_hash, config.double_base, config.exact_order)
 
 
 def multilevel_embed(graph: Graph, config: Config) -> DataFrame:

@@ -1,14 +1,18 @@
 """Refinement models: trained on the coarsest graph, applied level by level to whole graphs as DataFrame joins.
 
-Training holds the coarsest graph (at most `train_nodes` nodes) in one process. Applying a model sends nothing but its small
-weight matrices to the executors; neighbours meet by shuffles.
+A coarsest graph of at most `train_nodes` nodes is trained on in one process. On a larger one each step's gradients are partial
+sums made by the tasks, added up in tasks again and, as one set of small matrices, on the driver. Applying a model sends nothing
+but its weights to the executors; neighbours meet by shuffles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +21,9 @@ from ..functions.columns import unit
 from ..operators.graph import Graph
 from ..operators.vectors import gcn_operator, pooled, project, propagate
 from ..operators.walks import neighbour_samples
-from ..storage import cut
+from ..storage import cut, width
 from .base import Adam, glorot
-from .linear import map_rows
+from .linear import lists, map_rows, rows_of
 
 
 def _unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,14 +47,59 @@ class Stopper:
         return i > self.patience and loss > float(np.mean(self.losses[-self.patience - 1 : -1]))
 
 
-def _local(graph: Graph, embeddings: DataFrame, config: Config) -> tuple[np.ndarray, np.ndarray]:
-    n = graph.nodes.count()
-    if n > config.train_nodes:
-        raise ValueError(f"{n} nodes are more than training takes ({config.train_nodes}); coarsen further")
+def _local(embeddings: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = sorted(embeddings.select("node_id", "vec").collect())
     return np.array([r.node_id for r in rows]), np.array([r.vec for r in rows])
 
 
+def _small(graph: Graph, config: Config) -> bool:
+    return graph.nodes.limit(config.train_nodes + 1).count() <= config.train_nodes
+
+
+def summed(rows: DataFrame, f: Callable[[pa.RecordBatch], tuple[float, list[np.ndarray]]]) -> tuple[float, list[np.ndarray]]:
+    """(sum of the numbers, sums of the arrays) that f gives for each batch: every task adds up its own, a few tasks those of the
+    others, and the driver what these have made."""
+
+    def pack(total: float, sums: list[np.ndarray]) -> pa.RecordBatch:
+        shapes = [list(x.shape) for x in sums]
+        return pa.RecordBatch.from_arrays([pa.array([total]), pa.array([np.concatenate([x.ravel() for x in sums]).tobytes()], pa.binary()), pa.array([shapes], pa.list_(pa.list_(pa.int64())))], names=["total", "sums", "shapes"])
+
+    def unpack(raw: bytes, shapes: list[list[int]]) -> list[np.ndarray]:
+        ends = np.cumsum([int(np.prod(x)) for x in shapes])
+        return [part.reshape(shape) for part, shape in zip(np.split(np.frombuffer(raw), ends[:-1]), shapes, strict=True)]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, sums = 0.0, None
+        for batch in batches:
+            if len(batch):
+                part, found = f(batch)
+                total, sums = total + part, found if sums is None else [x + y for x, y in zip(sums, found, strict=True)]
+        if sums is not None:
+            yield pack(total, sums)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, sums = 0.0, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                found = unpack(r["sums"], r["shapes"])
+                total, sums = total + r["total"], found if sums is None else [x + y for x, y in zip(sums, found, strict=True)]
+        if sums is not None:
+            yield pack(total, sums)
+
+    shape = "total double, sums binary, shapes array<array<long>>"
+    few = max(1, int(width(rows.sparkSession) ** 0.5))
+    found = rows.mapInArrow(first, shape).repartition(few).mapInArrow(again, shape).collect()
+    return sum(r.total for r in found), [reduce(np.add, x) for x in zip(*(unpack(r.sums, r.shapes) for r in found), strict=True)]
+
+
+def _gcn_top(second: np.ndarray, wanted: np.ndarray, w: np.ndarray, n: int) -> tuple[float, np.ndarray, list[np.ndarray]]:
+    """Of some rows of the upper layer: (their part of the loss over n rows, gradients of what came in, of the weights)."""
+    two = np.tanh(second @ w)
+    y, size = _unit_rows(two)
+    g = _through_unit(2 * (y - wanted) / n, y, size) * (1 - two * two)
+    return float(((y - wanted) ** 2).sum() / n), g @ w.T, [second.T @ g]
+
+
 @dataclass
 class Gcn:
     """Two layers tanh(A H W), rows normalised."""
@@ -65,9 +114,11 @@ class Gcn:
         return cls(config, [glorot(rng, config.embed_dim, config.embed_dim) for _ in range(2)], [])
 
     def train(self, graph: Graph, start: DataFrame, target: DataFrame) -> Gcn:
+        if not _small(graph, self.config):
+            return self._train_apart(graph, start, target)
         c = self.config
-        ids, h = _local(graph, start, c)
-        _, wanted = _local(graph, target, c)
+        ids, h = _local(start)
+        _, wanted = _local(target)
         op = gcn_operator(graph.nodes, graph.edges, c.self_weight).toPandas()
         at, to, w = np.searchsorted(ids, op.src.to_numpy()), np.searchsorted(ids, op.dst.to_numpy()), op.wgt.to_numpy()
 
@@ -80,15 +131,48 @@ class Gcn:
         for _ in range(c.refine_epochs):
             one = np.tanh(first @ self.weights[0])
             second = times(one)
-            two = np.tanh(second @ self.weights[1])
-            y, size = _unit_rows(two)
-            loss = float(((y - wanted) ** 2).mean() * c.embed_dim + c.weight_decay * sum((x * x).sum() / 2 for x in self.weights))
-            self.losses.append(loss)
-            if stop.done(loss):
+            loss, back, (g,) = _gcn_top(second, wanted, self.weights[1], len(h))
+            if self._done(loss, stop):
                 break
-            g = _through_unit(2 * (y - wanted) / len(y), y, size) * (1 - two * two)
-            g1 = times(g @ self.weights[1].T) * (1 - one * one)
-            adam.step([first.T @ g1 + c.weight_decay * self.weights[0], second.T @ g + c.weight_decay * self.weights[1]])
+            g1 = times(back) * (1 - one * one)
+            adam.step([first.T @ g1 + c.weight_decay * self.weights[0], g + c.weight_decay * self.weights[1]])
+        return self
+
+    def _done(self, loss: float, stop: Stopper) -> bool:
+        self.losses.append(loss + self.config.weight_decay * sum(float((x * x).sum()) / 2 for x in self.weights))
+        return stop.done(self.losses[-1])
+
+    def _train_apart(self, graph: Graph, start: DataFrame, target: DataFrame) -> Gcn:
+        """The same steps with every product of the operator a join, and the weights' gradients sums over tasks."""
+        c, n = self.config, graph.nodes.count()
+        op = cut(gcn_operator(graph.nodes, graph.edges, c.self_weight), "gcn-operator")
+        zero = F.array_repeat(F.lit(0.0), c.embed_dim)
+
+        def times(x: DataFrame) -> DataFrame:
+            return start.select("node_id").join(propagate(op, x), "node_id", "left").select("node_id", F.coalesce("vec", zero).alias("vec"))
+
+        adam, stop, first = Adam(self.weights, c.learning_rate), Stopper(c.early_stop), cut(times(start), "gcn-first")
+        goal = target.select("node_id", F.col("vec").alias("goal"))
+        for _ in range(c.refine_epochs):
+            w0, w1 = (w.copy() for w in self.weights)
+            second = cut(times(map_rows(first, lambda x, w0=w0: np.tanh(x @ w0))).join(goal, "node_id"), "gcn-second")
+            loss, (g,) = summed(second, lambda b, w1=w1: (lambda x: (x[0], x[2]))(_gcn_top(rows_of(b), rows_of(b, "goal"), w1, n)))
+            if self._done(loss, stop):
+                break
+
+            def back(batches: Iterator[pa.RecordBatch], w1=w1) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    if len(b):
+                        yield pa.RecordBatch.from_arrays([b.column("node_id"), lists(_gcn_top(rows_of(b), rows_of(b, "goal"), w1, n)[1])], names=["node_id", "vec"])
+
+            pulled = times(second.mapInArrow(back, "node_id long, vec array<double>")).withColumnRenamed("vec", "pull")
+
+            def low(b: pa.RecordBatch, w0=w0) -> tuple[float, list[np.ndarray]]:
+                x = rows_of(b)
+                return 0.0, [x.T @ (rows_of(b, "pull") * (1 - np.tanh(x @ w0) ** 2))]
+
+            _, (g0,) = summed(first.join(pulled, "node_id"), low)
+            adam.step([g0 + c.weight_decay * self.weights[0], g + c.weight_decay * self.weights[1]])
         return self
 
     def apply(self, graph: Graph, start: DataFrame) -> DataFrame:
@@ -101,11 +185,21 @@ class Gcn:
         return h.select("node_id", unit(F.col("vec")).alias("vec"))
 
 
+@dataclass
+class Block:
+    """What the model looks at for some nodes: vectors of all nodes that matter, for each layer the nodes that get a new vector and
+    whom they drew (places among `vectors`; `at` counts the layer's nodes, in order), and the goals of the last layer's nodes."""
+
+    vectors: np.ndarray
+    layers: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    goals: np.ndarray
+
+
 @dataclass
 class GraphSage:
-    """The largest, place by place, of two ReLU layers over sampled neighbours, beside the node's own vector.
+    """Layers, as many as `depth`: the largest, place by place, of two ReLU steps over sampled neighbours, beside the node's own vector.
 
-    The layers look at one neighbour at a time, so a node's image is made once and only then brought to those that drew it."""
+    The steps look at one neighbour at a time, so a node's image is made once and only then brought to those that drew it."""
 
     config: Config
     weights: list[np.ndarray]
@@ -114,65 +208,191 @@ class GraphSage:
     @classmethod
     def create(cls, config: Config) -> GraphSage:
         rng, d = np.random.default_rng(config.seed), config.embed_dim
-        inner = 2 * d if config.concat else d
-        return cls(config, [glorot(rng, d, d), np.zeros(d), glorot(rng, d, d), np.zeros(d), glorot(rng, d, d), glorot(rng, d, d), glorot(rng, inner, d), np.zeros(d)], [])
-
-    def _images(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w1, b1, w2, b2 = self.weights[:4]
-        one = np.maximum(x @ w1 + b1, 0)
-        return one, np.maximum(one @ w2 + b2, 0)
-
-    def _join(self, own: np.ndarray, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, _, _, _, ws, wn, wc, b = self.weights
-        both = np.concatenate([own @ ws, pool @ wn], axis=1) if self.config.concat else own @ ws + pool @ wn
-        return both, np.tanh(both @ wc + b)
+        weights = []
+        for _ in range(config.depth):
+            weights += [glorot(rng, d, d), np.zeros(d), glorot(rng, d, d), np.zeros(d), glorot(rng, d, d), glorot(rng, d, d)]
+            weights += [glorot(rng, 2 * d, d), np.zeros(d)] if config.concat else []
+        return cls(config, weights, [])
+
+    def layer(self, k: int) -> list[np.ndarray]:
+        n = len(self.weights) // self.config.depth
+        return self.weights[k * n : (k + 1) * n]
+
+    @staticmethod
+    def images(x: np.ndarray, w: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        one = np.maximum(x @ w[0] + w[1], 0)
+        return one, np.maximum(one @ w[2] + w[3], 0)
+
+    @staticmethod
+    def joined(own: np.ndarray, pool: np.ndarray, w: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        parts = own @ w[4], pool @ w[5]
+        both = np.concatenate(parts, axis=1) if len(w) > 6 else parts[0] + parts[1]
+        return both, np.tanh(both @ w[6] + w[7] if len(w) > 6 else both)
+
+    def gradients(self, block: Block, n: int) -> tuple[float, list[np.ndarray]]:
+        """(the block's part of the sum of squares, its gradients of the mean over n nodes)."""
+        h, kept, d = block.vectors, [], self.config.embed_dim
+        for k, (nodes, at, to) in enumerate(block.layers):
+            w = self.layer(k)
+            used, inner = np.unique(to, return_inverse=True)
+            one, image = self.images(h[used], w)
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+            brought = image[inner]
+            pool = np.zeros((len(nodes), d))
+            if len(at):
+                pool[at[first]] = np.maximum.reduceat(brought, first)
+            both, out = self.joined(h[nodes], pool, w)
+            y, size = _unit_rows(out)
+            kept.append((h, used, inner, one, image, brought, first, pool, both, out, y, size))
+            h = h.copy()
+            h[nodes] = y
+        last = block.layers[-1][0]
+        total = float(((h[last] - block.goals) ** 2).sum())
+        pull = np.zeros_like(h)
+        pull[last] = 2 * (h[last] - block.goals) / n
+        found: list[np.ndarray] = []
+        for k in reversed(range(len(block.layers))):
+            (nodes, at, _), w = block.layers[k], self.layer(k)
+            h, used, inner, one, image, brought, first, pool, both, out, y, size = kept[k]
+            g = _through_unit(pull[nodes], y, size) * (1 - out * out)
+            pull[nodes] = 0
+            top = [both.T @ g, g.sum(0)] if len(w) > 6 else []
+            inside = g @ w[6].T if len(w) > 6 else g
+            gs, gn = (inside[:, :d], inside[:, d:]) if len(w) > 6 else (inside, inside)
+            g_image = np.zeros_like(image)
+            if len(at):
+                # Those that are the largest share what comes down.
+                best = brought == pool[at]
+                share = np.add.reduceat(best, first, dtype=float)
+                each = np.repeat(1 / share, np.diff(np.r_[first, len(at)]), axis=0)
+                np.add.at(g_image, inner, best * each * (gn @ w[5].T)[at])
+            g2 = g_image * (image > 0)
+            g1 = (g2 @ w[2].T) * (one > 0)
+            found = [h[used].T @ g1, g1.sum(0), one.T @ g2, g2.sum(0), h[nodes].T @ gs, pool.T @ gn, *top, *found]
+            np.add.at(pull, used, g1 @ w[0].T)
+            pull[nodes] += gs @ w[4].T
+        return total, found
+
+    def samples(self, graph: Graph) -> DataFrame:
+        c = self.config
+        drawn = neighbour_samples(graph.edges, graph.nodes.select("node_id"), c.samples, c.depth, c.seed, c.uniform_samples, c.self_loops)
+        return drawn.select("layer", "node_id", "neighbor").distinct()
 
     def train(self, graph: Graph, start: DataFrame, target: DataFrame) -> GraphSage:
         c = self.config
-        ids, h = _local(graph, start, c)
-        _, wanted = _local(graph, target, c)
-        drawn = neighbour_samples(graph.edges, graph.nodes.select("node_id"), c.samples, 1, c.seed, c.uniform_samples, c.self_loops).select("node_id", "neighbor").distinct().toPandas().sort_values(["node_id", "neighbor"])
-        at, to = np.searchsorted(ids, drawn.node_id.to_numpy()), np.searchsorted(ids, drawn.neighbor.to_numpy())
-        rng, adam, stop = np.random.default_rng(c.seed), Adam(self.weights, c.learning_rate), Stopper(c.early_stop)
-        _, _, w2, _, ws, wn, wc, _ = self.weights
-        d = c.embed_dim
+        near = _small(graph, c)
+        if near:
+            ids, h = _local(start)
+            _, wanted = _local(target)
+            drawn = self.samples(graph).toPandas().sort_values(["layer", "node_id", "neighbor"])
+            lines, rng, n = [], np.random.default_rng(c.seed), len(ids)
+            for k in range(c.depth):
+                own = drawn[drawn.layer == k]
+                lines.append((np.searchsorted(ids, own.node_id.to_numpy()), np.searchsorted(ids, own.neighbor.to_numpy())))
+
+            def steps() -> Iterator[tuple[float, list[np.ndarray]]]:
+                order = rng.permutation(n)
+                for lo in range(0, n, c.batch_size):
+                    batch = np.sort(order[lo : lo + c.batch_size])
+                    yield self.gradients(_around(h, lines, wanted, batch), len(batch))
+        else:
+            n = graph.nodes.count()
+            blocks = cut(self.blocks(graph, start, target, -(-n // c.block_nodes)), "sage-blocks")
+            batches = -(-n // c.batch_size)
+            epoch = iter(range(c.refine_epochs))
+
+            def steps() -> Iterator[tuple[float, list[np.ndarray]]]:
+                turn = next(epoch)
+                for batch in range(batches):
+                    model = GraphSage(c, [w.copy() for w in self.weights], [])
+
+                    def of(rows: pa.RecordBatch, model=model) -> tuple[float, list[np.ndarray]]:
+                        found = [model.gradients(_unpacked(r, c), -(-n // batches)) for r in rows.to_pylist()]
+                        return sum(x for x, _ in found), [reduce(np.add, g) for g in zip(*(g for _, g in found), strict=True)]
+
+                    yield summed(blocks.filter(F.pmod(F.xxhash64("block", F.lit(turn)), F.lit(batches)) == batch), of)
+
+        adam, stop = Adam(self.weights, c.learning_rate), Stopper(c.early_stop)
         for _ in range(c.refine_epochs):
-            total, order = 0.0, rng.permutation(len(ids))
-            for lo in range(0, len(ids), c.batch_size):
-                batch = np.sort(order[lo : lo + c.batch_size])
-                rows = np.flatnonzero(np.isin(at, batch))
-                one, image = self._images(h)
-                pool, who = np.zeros((len(ids), d)), np.full((len(ids), d), -1)
-                starts = np.flatnonzero(np.r_[True, at[rows][1:] != at[rows][:-1]]) if len(rows) else np.zeros(0, int)
-                for s, e in zip(starts, np.r_[starts[1:], len(rows)], strict=True):
-                    near = to[rows[s:e]]
-                    best = image[near].argmax(0)
-                    pool[at[rows[s]]], who[at[rows[s]]] = image[near[best], np.arange(d)], near[best]
-                both, out = self._join(h[batch], pool[batch])
-                y, size = _unit_rows(out)
-                total += float(((y - wanted[batch]) ** 2).sum())
-                g = _through_unit(2 * (y - wanted[batch]) / len(batch), y, size) * (1 - out * out)
-                inner = g @ wc.T
-                gs, gn = (inner[:, :d], inner[:, d:]) if c.concat else (inner, inner)
-                g_pool, g_image = gn @ wn.T, np.zeros_like(image)
-                seen = who[batch] >= 0
-                np.add.at(g_image, (who[batch][seen], np.broadcast_to(np.arange(d), seen.shape)[seen]), g_pool[seen])
-                g2 = g_image * (image > 0)
-                g1 = (g2 @ w2.T) * (one > 0)
-                adam.step([h.T @ g1, g1.sum(0), one.T @ g2, g2.sum(0), h[batch].T @ gs, pool[batch].T @ gn, both.T @ g, g.sum(0)])
-            self.losses.append(total / max(len(ids), 1))
+            total = 0.0
+            for part, found in steps():
+                total += part
+                if found:  # a batch of no block
+                    adam.step(found)
+            self.losses.append(total / max(n, 1))
             if stop.done(self.losses[-1]):
                 break
         return self
 
+    def blocks(self, graph: Graph, start: DataFrame, target: DataFrame, count: int) -> DataFrame:
+        """One row for each block of nodes, dealt by a hash: all that its gradients need, from its own nodes out to those drawn layer by
+        layer."""
+        drawn = cut(self.samples(graph), "sage-samples")
+        members = target.select("node_id", F.pmod(F.xxhash64("node_id", F.lit(7)), F.lit(count)).cast("int").alias("block"))
+        sets = members
+        none, empty = F.lit(None).cast("long"), F.lit(None).cast("array<double>")
+        rows = [members.join(target, "node_id").select("block", F.lit(-2).alias("layer"), "node_id", none.alias("other"), "vec")]
+        for k in reversed(range(self.config.depth)):
+            rows.append(sets.select("block", F.lit(2 * k + 1).alias("layer"), "node_id", none.alias("other"), empty.alias("vec")))
+            lines = drawn.filter(F.col("layer") == k).drop("layer").join(sets, "node_id")
+            rows.append(lines.select("block", F.lit(2 * k).alias("layer"), "node_id", F.col("neighbor").alias("other"), empty.alias("vec")))
+            sets = sets.union(lines.select(F.col("neighbor").alias("node_id"), "block")).distinct()
+        rows.append(sets.join(start, "node_id").select("block", F.lit(-1).alias("layer"), "node_id", none.alias("other"), "vec"))
+        every = reduce(DataFrame.union, rows).repartition(min(count, width(graph.nodes.sparkSession)), "block").sortWithinPartitions("block", "layer", "node_id", "other")
+        return every.groupBy("block").applyInArrow(_packed, "block int, ids binary, vectors binary, goals binary, nodes array<binary>, lines array<binary>")
+
     def apply(self, graph: Graph, start: DataFrame) -> DataFrame:
-        c = self.config
-        images = cut(map_rows(start, lambda x: self._images(x)[1]), "sage-images")
-        drawn = neighbour_samples(graph.edges, graph.nodes.select("node_id"), c.samples, 1, c.seed, c.uniform_samples, c.self_loops)
-        zero = F.array_repeat(F.lit(0.0), c.embed_dim)
-        both = start.join(pooled(drawn, images).withColumnRenamed("vec", "pool"), "node_id", "left").select("node_id", F.concat("vec", F.coalesce("pool", zero)).alias("vec"))
-        d = c.embed_dim
-        return map_rows(both, lambda x: self._join(x[:, :d], x[:, d:])[1]).select("node_id", unit(F.col("vec")).alias("vec"))
+        c, d = self.config, self.config.embed_dim
+        drawn = cut(self.samples(graph), "sage-samples")
+        zero, h = F.array_repeat(F.lit(0.0), d), start
+        for k in range(c.depth):
+            w = self.layer(k)
+            images = cut(map_rows(h, lambda x, w=w: GraphSage.images(x, w)[1]), "sage-images")
+            pool = pooled(drawn.filter(F.col("layer") == k), images).withColumnRenamed("vec", "pool")
+            both = h.join(pool, "node_id", "left").select("node_id", F.concat("vec", F.coalesce("pool", zero)).alias("vec"))
+            h = map_rows(both, lambda x, w=w: GraphSage.joined(x[:, :d], x[:, d:], w)[1]).select("node_id", unit(F.col("vec")).alias("vec"))
+            h = cut(h, "sage-layer") if k + 1 < c.depth else h
+        return h
+
+
+def _around(vectors: np.ndarray, lines: list[tuple[np.ndarray, np.ndarray]], goals: np.ndarray, batch: np.ndarray) -> Block:
+    """The block of some nodes, out of all vectors and the lines (node, drawn) of each layer."""
+    nodes, layers = batch, []
+    for at, to in reversed(lines):
+        own = np.isin(at, nodes)
+        layers.append((nodes, np.searchsorted(nodes, at[own]), to[own]))
+        nodes = np.union1d(nodes, to[own])
+    return Block(vectors, layers[::-1], goals[batch])
+
+
+def _packed(rows: pa.Table) -> pa.Table:
+    """One block's rows as one row of packed arrays."""
+    layer, node, other = (rows.column(c).to_numpy() for c in ("layer", "node_id", "other"))
+    order = np.lexsort((np.nan_to_num(other.astype(float)), node, layer))
+    rows = rows.take(pa.array(order))
+    layer, node, other = layer[order], node[order], rows.column("other").fill_null(-1).to_numpy()
+
+    def vectors(of: int) -> np.ndarray:
+        part = rows.filter(pa.array(layer == of)).column("vec").combine_chunks()
+        return part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+
+    ids = node[layer == -1]
+    nodes, lines = [], []
+    for k in range(int(layer.max()) // 2 + 1):
+        own = node[layer == 2 * k + 1]
+        mine = layer == 2 * k
+        nodes.append(np.searchsorted(ids, own).astype(np.int64).tobytes())
+        lines.append(np.stack([np.searchsorted(own, node[mine]), np.searchsorted(ids, other[mine])]).astype(np.int64).tobytes())
+    kinds = [("block", pa.int32(), rows.column("block")[0].as_py()), ("ids", pa.binary(), ids.tobytes()), ("vectors", pa.binary(), vectors(-1).tobytes()), ("goals", pa.binary(), vectors(-2).tobytes()), ("nodes", pa.list_(pa.binary()), nodes), ("lines", pa.list_(pa.binary()), lines)]
+    return pa.table({name: pa.array([value], kind) for name, kind, value in kinds})
+
+
+def _unpacked(row: dict, config: Config) -> Block:
+    layers = []
+    for nodes, lines in zip(row["nodes"], row["lines"], strict=True):
+        at, to = np.frombuffer(lines, np.int64).reshape(2, -1)
+        layers.append((np.frombuffer(nodes, np.int64), at, to))
+    return Block(np.frombuffer(row["vectors"]).reshape(-1, config.embed_dim), layers, np.frombuffer(row["goals"]).reshape(-1, config.embed_dim))
 
 
 MODELS = {"graphsage": GraphSage, "gcn": Gcn, "none": Gcn}

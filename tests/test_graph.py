@@ -1,13 +1,13 @@
 """Operators on hand-made graphs, and what must hold on any graph."""
 
-import pandas as pd
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from stratagraph.config import Config
 from stratagraph.operators import coarsen, graph, matching, vectors, walks
-from stratagraph.plans import base, evaluate, refine
+from stratagraph.plans import base, evaluate, linear, refine
 from stratagraph.plans.multilevel import multilevel_embed
 from stratagraph.sources import text
 
@@ -91,8 +91,44 @@ def test_matchings(spark, pairs):
 
 
 def test_greedy_order():
-    edges = pd.DataFrame([(0, 1, 0.5), (1, 0, 0.5), (1, 2, 0.9), (2, 1, 0.9)], columns=["src", "dst", "nw"])
-    assert matching.greedy(edges, pd.DataFrame({"node_id": [0, 1, 2], "n_adj": [1, 2, 1]})) == [(0, 1)]
+    edges = np.array([(0, 1), (1, 0), (1, 2), (2, 1)])
+    a, b = matching.greedy(edges[:, 0], edges[:, 1], np.array([0.5, 0.5, 0.9, 0.9]), np.array([0, 1, 2]), np.array([1, 2, 1]))
+    assert (a.tolist(), b.tolist()) == ([0], [1])
+    rng = np.random.default_rng(1)
+    for _ in range(50):  # against visiting node by node
+        n = int(rng.integers(1, 12))
+        pairs = {(a, b): float(rng.integers(1, 4)) for a in range(n) for b in range(a + 1, n) if rng.uniform() < 0.4}
+        both = np.array([(a, b) for a, b in pairs] + [(b, a) for a, b in pairs], int).reshape(-1, 2)
+        nw = np.array([*pairs.values()] * 2)
+        n_adj = rng.integers(0, 3, n)
+        taken, wanted = set(), []
+        for node in sorted(range(n), key=lambda i: (n_adj[i], i)):
+            free = sorted((-pairs[min(node, m), max(node, m)], m) for m in range(n) if (min(node, m), max(node, m)) in pairs and m not in taken and m != node)
+            if node not in taken and free:
+                wanted.append((node, free[0][1]))
+                taken |= {node, free[0][1]}
+        a, b = matching.greedy(both[:, 0], both[:, 1], nw, np.arange(n), n_adj)
+        assert list(zip(a.tolist(), b.tolist(), strict=True)) == wanted
+
+
+def test_rounds_above_the_threshold_whatever_the_flag(spark, monkeypatch):
+    """A large graph is never matched in one task unless asked for."""
+    monkeypatch.setattr(coarsen, "heavy_sequential", None)
+    g = ring(spark, 40)
+    for parallel in (True, False):
+        cmap, coarse = coarsen.coarsen_once(g, 20.0, parallel, threshold=10)
+        assert cmap.count() == 40 and coarse.nodes.count() < 40
+    with pytest.raises(TypeError):
+        coarsen.coarsen_once(g, 20.0, False, threshold=10, exact_order=True)
+
+
+def test_rounds_without_the_greedy_end(spark):
+    g = ring(spark, 60)
+    linked = {(r.src, r.dst) for r in g.edges.collect()}
+    rows = matching.heavy_rounds(g, g.nodes.select("node_id"), 20.0, tail=0).collect()
+    used = [x for r in rows for x in (r.a, r.b)]
+    assert len(used) == len(set(used)) and all((r.a, r.b) in linked for r in rows)
+    assert not [(a, b) for a, b in linked if a != b and a not in used and b not in used]
 
 
 def test_granted_pairs_are_apart(spark):
@@ -233,6 +269,72 @@ def test_training_lowers_the_loss(spark):
         assert model.losses[-1] < model.losses[0]
 
 
+@pytest.mark.parametrize("concat", [True, False])
+def test_gradients_of_layers(concat):
+    """Against differences of the loss, with two layers."""
+    from dataclasses import replace
+
+    rng, c = np.random.default_rng(3), replace(SMALL, depth=2, concat=concat)
+    model = refine.GraphSage.create(c)
+    assert len(model.weights) == 2 * (8 if concat else 6)
+    for w in model.weights:
+        w += rng.normal(size=w.shape) * 0.1
+    h, wanted = rng.normal(size=(9, 4)), rng.normal(size=(9, 4))
+    lines = []
+    for _ in range(2):
+        pairs = np.unique(rng.integers(0, 9, (20, 2)), axis=0)
+        pairs = pairs[pairs[:, 0] != 4]  # a node that drew nobody
+        lines.append((pairs[:, 0], pairs[:, 1]))
+    batch = np.array([1, 2, 4, 8])
+    block = refine._around(h, lines, wanted, batch)
+    loss = lambda: model.gradients(block, 4)[0] / 4
+    _, found = model.gradients(block, 4)
+    for w, g in zip(model.weights, found, strict=True):
+        for _ in range(6):
+            i = tuple(int(rng.integers(0, k)) for k in w.shape)
+            was = w[i]
+            w[i] = was + 1e-6
+            up = loss()
+            w[i] = was - 1e-6
+            down = loss()
+            w[i] = was
+            assert abs((up - down) / 2e-6 - g[i]) < 1e-5
+
+
+@pytest.mark.parametrize("changes", [{"refine": "gcn"}, {"refine": "graphsage"}, {"refine": "graphsage", "depth": 2, "concat": False}])
+def test_training_apart_is_training_in_one_process(spark, changes):
+    """Gradients added up over tasks and blocks give the same model."""
+    from dataclasses import replace
+
+    g = ring(spark)
+    start, target = (linear.random_rows(g.nodes, 4, seed).transform(vectors.l2_normalise).cache() for seed in (1, 2))
+    c = replace(SMALL, refine_epochs=3, learning_rate=0.01, **changes)
+    near = refine.refine_model(c).train(g, start, target)
+    far = refine.refine_model(replace(c, train_nodes=5, block_nodes=7)).train(g, start, target)
+    assert np.allclose(near.losses, far.losses)
+    assert all(np.allclose(a, b) for a, b in zip(near.weights, far.weights, strict=True))
+    out = near.apply(g, start).collect()
+    assert len(out) == 24 and all(abs(sum(x * x for x in r.vec) - 1) < 1e-9 for r in out)
+    batches = refine.refine_model(replace(c, batch_size=10)).train(g, start, target) if changes["refine"] == "graphsage" else near
+    assert len(batches.losses) == 3
+
+
+def test_layers_applied_as_trained(spark):
+    """What the DataFrames give is what the gradients' forward pass gives."""
+    from dataclasses import replace
+
+    g = ring(spark)
+    start = vectors.l2_normalise(linear.random_rows(g.nodes, 4, 1)).cache()
+    model = refine.GraphSage.create(replace(SMALL, depth=2))
+    rows = sorted(model.apply(g, start).collect())
+    goal = spark.createDataFrame([(r.node_id, r.vec) for r in rows], "node_id long, vec array<double>")
+    drawn = model.samples(g).toPandas().sort_values(["layer", "node_id", "neighbor"])
+    lines = [(drawn[drawn.layer == k].node_id.to_numpy(), drawn[drawn.layer == k].neighbor.to_numpy()) for k in range(2)]
+    h = np.array([r.vec for r in sorted(start.collect())])
+    total, _ = model.gradients(refine._around(h, lines, np.array([r.vec for r in sorted(goal.collect())]), np.arange(24)), 24)
+    assert total < 1e-18
+
+
 def test_communities_are_found(spark):
     """Two dense halves: embeddings tell them apart far better than chance."""
     from dataclasses import replace
