@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import logging
-import os
 import time
 
 from pyspark.sql import SparkSession
@@ -14,7 +13,7 @@ from .plans.base import METHODS
 from .plans.evaluate import multilabel, summary
 from .plans.multilevel import multilevel_embed
 from .plans.refine import MODELS
-from .sources.text import data_path, read_graph, read_truth, write_embeddings
+from .sources.text import exists, data_path, read_graph, read_truth, write_embeddings
 
 log = logging.getLogger("stratagraph")
 
@@ -43,7 +42,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--min-hash", type=int, default=c.min_hash)
     p.add_argument("--refine-epochs", type=int, default=c.refine_epochs)
     p.add_argument("--train-nodes", type=int, default=c.train_nodes)
-    p.add_argument("--samples", type=int, default=c.samples)
+    p.add_argument("--samples", type=int, default=None, help=f"neighbours drawn for each node (of yelp 10, else {c.samples})")
+    p.add_argument("--depth", type=int, default=c.depth, help="layers of the sampling model")
+    p.add_argument("--exact-order", action="store_true", help="the greedy matching order for graphs of any size, in one task")
     p.add_argument("--runs", type=int, default=c.runs)
     p.add_argument("--seed", type=int, default=c.seed)
     return p
@@ -53,7 +54,7 @@ def config_of(a: argparse.Namespace) -> Config:
     return Config(
         data=a.data, fmt=a.format, embed_dim=a.embed_dim, base=a.basic_embed, refine=a.refine_type, sdne_epochs=a.sdne_epoch, coarsen_m=a.coarsen_m, batch_size=a.batch_size, double_base=a.double_base,
         learning_rate=a.learning_rate, self_weight=a.self_weight, only_coarse=a.only_coarse, coarse_parallel=a.coarse_parallel, coarse_threshold=a.coarse_threshold, min_hash=a.min_hash,
-        refine_epochs=a.refine_epochs, train_nodes=a.train_nodes, samples=a.samples, runs=a.runs, seed=a.seed,
+        refine_epochs=a.refine_epochs, train_nodes=a.train_nodes, samples=a.samples or (10 if a.data == "yelp" else Config.samples), depth=a.depth, exact_order=a.exact_order, runs=a.runs, seed=a.seed,
     )
 
 
@@ -70,7 +71,7 @@ def main(args: list[str] | None = None) -> None:
     found = multilevel_embed(graph, config).cache()
     seconds = time.time() - began
     log.info("embedded %d nodes in %.1f s", found.count(), seconds)
-    if not a.no_eval and not config.only_coarse and os.path.exists(f"{path}.truth"):
+    if not a.no_eval and not config.only_coarse and exists(spark, f"{path}.truth"):
         truth = read_truth(spark, f"{path}.truth", index, first)
         summary(config, multilabel(found, truth, config), config.coarsen_m, seconds).show(truncate=False)
     if a.store_embed:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,12 +117,16 @@ def graph_volume(spark, folder):
     return graph.volume(tables.part_supplier(spark, folder).edges)
 
 
+#: Rounds in which the least label goes to the neighbours; more than the diameter of the graph, each edge of which joins a part and a supplier.
+ROUNDS = 30
+
+
 @query(
-    _with(NATION_REGION, EDGES, "reach(node_id, root) AS (SELECT node_id, node_id FROM nodes UNION SELECT e.dst, r.root FROM reach r JOIN edges e ON e.src = r.node_id)", recursive=True)
-    + "SELECT node_id, min(root) AS component FROM reach GROUP BY node_id"
+    _with(PART_SUPPLIER, EDGES, f"labels(turn, node_id, label) AS (SELECT 0, node_id, node_id FROM nodes UNION ALL SELECT turn + 1, node_id, min(label) FROM (SELECT turn, node_id, label FROM labels UNION ALL SELECT turn, dst, label FROM labels JOIN edges ON src = node_id) WHERE turn < {ROUNDS} GROUP BY turn, node_id)", recursive=True)
+    + f"SELECT node_id, label AS component FROM labels WHERE turn = {ROUNDS}"
 )
 def connected_components(spark, folder):
-    g = tables.nation_region(spark, folder)
+    g = tables.part_supplier(spark, folder)
     return graph.components(g.edges, g.nodes)
 
 
@@ -207,9 +212,16 @@ def weight_conservation(spark, folder):
     return coarsen.report(levels).select("level", "node_wgt", "wgt")
 
 
-@query()
+GREEDY = """near AS (SELECT src, list(dst ORDER BY nw DESC, dst) AS dsts FROM weighted WHERE src <> dst GROUP BY src),
+visits AS MATERIALIZED (SELECT row_number() OVER (ORDER BY n_adj, node_id) AS i, node_id, dsts FROM nodes LEFT JOIN near ON src = node_id),
+steps(i, a, b, taken) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[] UNION ALL
+SELECT i, CASE WHEN b IS NOT NULL THEN node_id END, b, CASE WHEN b IS NOT NULL THEN list_concat(taken, [node_id, b]) ELSE taken END
+FROM (SELECT v.i, v.node_id, s.taken, CASE WHEN NOT list_contains(s.taken, v.node_id) THEN list_filter(v.dsts, lambda x: NOT list_contains(s.taken, x))[1] END AS b FROM steps s JOIN visits v ON v.i = s.i + 1))"""
+
+
+@query(_with(PART_SUPPLIER, EDGES, WEIGHTED, GREEDY, recursive=True) + "SELECT a, b FROM steps WHERE a IS NOT NULL")
 def hem_sequential(spark, folder):
-    g = tables.nation_region(spark, folder)
+    g = tables.part_supplier(spark, folder)
     return matching.heavy_sequential(g, g.nodes.select("node_id"), 20.0)
 
 
@@ -217,7 +229,24 @@ def hem_sequential(spark, folder):
 def hem_rounds(spark, folder):
     g = tables.copurchase(spark, folder)
     g = Graph(cut(g.nodes, "nodes"), cut(g.edges, "edges"))
-    return matching.heavy_rounds(g, g.nodes.select("node_id"), 20.0)
+    return matching.heavy_rounds(g, g.nodes.select("node_id"), 20.0, tail=100_000)
+
+
+@query(_with(COPURCHASE, EDGES) + "SELECT node_id, n_adj, 1::BIGINT AS mates_at_most, 0::BIGINT AS not_neighbours, 0::BIGINT AS could_be_added FROM nodes")
+def hem_rounds_checked(spark, folder):
+    """What must hold of the matching in rounds, node by node: the larger of its mates' number and 1, mates that are no neighbours, and
+    free neighbours of a free node."""
+    g = tables.copurchase(spark, folder)
+    g = Graph(cut(g.nodes, "nodes"), cut(g.edges, "edges"))
+    pairs = cut(matching.heavy_rounds(g, g.nodes.select("node_id"), 20.0, tail=100_000), "pairs")
+    mates = pairs.union(pairs.select("b", "a")).toDF("src", "dst")
+    count = mates.groupBy("src").agg(F.count("*").alias("mates"))
+    strangers = mates.join(g.edges.select("src", "dst"), ["src", "dst"], "left_anti").groupBy("src").agg(F.count("*").alias("strangers"))
+    free = g.nodes.select("node_id").join(mates, F.col("node_id") == F.col("src"), "left_anti")
+    left = g.edges.filter("src <> dst").join(free.withColumnRenamed("node_id", "src"), "src").join(free.withColumnRenamed("node_id", "dst"), "dst").groupBy("src").agg(F.count("*").alias("left"))
+    own = g.nodes.withColumnRenamed("node_id", "src").join(count, "src", "left").join(strangers, "src", "left").join(left, "src", "left")
+    zero = F.lit(0).cast("long")
+    return own.select(F.col("src").alias("node_id"), "n_adj", F.greatest(F.coalesce("mates", zero), F.lit(1).cast("long")).alias("mates_at_most"), F.coalesce("strangers", zero).alias("not_neighbours"), F.coalesce("left", zero).alias("could_be_added"))
 
 
 @query()
@@ -227,6 +256,21 @@ def coarsen_hierarchy(spark, folder):
     return coarsen.report(levels)
 
 
+@query(_with(COPURCHASE, EDGES) + "SELECT node_id, 1.0::DOUBLE AS node_wgt, degree, true AS shrinks FROM nodes")
+def coarsen_hierarchy_checked(spark, folder):
+    """What must hold of the whole hierarchy, node by node of the first graph: its share of the node weight and of the degree of the
+    coarsest node that it has become part of, and whether every level has fewer nodes than the one before."""
+    levels = coarsen.hierarchy(tables.copurchase(spark, folder), 2, 16, parallel=False, threshold=1000)
+    at = levels[0].graph.nodes.select("node_id", "degree", F.col("node_id").alias("top"))
+    for level in levels[:-1]:
+        at = at.join(level.cmap.withColumnsRenamed({"node_id": "top", "coarse_id": "next"}), "top").select("node_id", "degree", F.col("next").alias("top"))
+    at = cut(at, "tops")
+    sums = at.groupBy("top").agg(F.count("*").alias("members"), F.sum("degree").alias("degrees"))
+    tops = levels[-1].graph.nodes.select(F.col("node_id").alias("top"), "node_wgt", F.col("degree").alias("held"))
+    shrinks = all(a.size > b.size for a, b in zip(levels, levels[1:], strict=False)) and len(levels) > 1
+    return at.join(sums, "top").join(tops, "top").select("node_id", (F.col("node_wgt") / F.col("members")).alias("node_wgt"), (F.col("degree") * F.col("held") / F.col("degrees")).alias("degree"), F.lit(shrinks).alias("shrinks"))
+
+
 # Vectors
 
 
@@ -306,13 +350,13 @@ def neighbor_sample(spark, folder):
 
 
 @query(
-    _with(PART_SUPPLIER, EDGES, RUNNING, SAMPLED, "f0 AS (SELECT node_id FROM nodes WHERE node_id % 50 = 0)", "f1 AS (SELECT DISTINCT neighbor AS node_id FROM samples WHERE layer = 0 AND node_id IN (FROM f0))", "f2 AS (SELECT DISTINCT neighbor AS node_id FROM samples WHERE layer = 1 AND node_id IN (FROM f1))")
+    _with(PART_SUPPLIER, EDGES, RUNNING, SAMPLED, "f0 AS (SELECT node_id FROM nodes)", "f1 AS (SELECT DISTINCT neighbor AS node_id FROM samples WHERE layer = 0 AND node_id IN (FROM f0))", "f2 AS (SELECT DISTINCT neighbor AS node_id FROM samples WHERE layer = 1 AND node_id IN (FROM f1))")
     + "SELECT 0::BIGINT AS layer, node_id FROM f0 UNION ALL SELECT 1, node_id FROM f1 UNION ALL SELECT 2, node_id FROM f2"
 )
 def frontier_distinct(spark, folder):
-    """The layers around one batch of nodes: the batch is what the operator is for."""
+    """The layers around a batch of all nodes."""
     g, samples = _samples(spark, folder)
-    return walks.frontiers(cut(samples, "samples"), g.nodes.filter("node_id % 50 = 0"), 2)
+    return walks.frontiers(cut(samples, "samples"), g.nodes, 2)
 
 
 @query(_with(VECTORS, COPURCHASE, EDGES, RUNNING, SAMPLED) + "SELECT s.node_id, pos, max(value) AS value FROM (SELECT DISTINCT node_id, neighbor FROM samples WHERE layer = 0) s JOIN places p ON p.node_id = s.neighbor GROUP BY 1, 2")
@@ -456,6 +500,20 @@ def netmf_small_embed(spark, folder):
     return base.netmf_small(_small(spark, folder), SMALL)
 
 
+@query(
+    _with(USER_EVENT, EDGES, POWERS, "m AS (SELECT * FROM (SELECT t.src, t.dst, ln(greatest(t.wgt * (SELECT sum(wgt) FROM edges) / 3 / sqrt(a.degree) / sqrt(b.degree), 1.0)) AS wgt FROM total t JOIN nodes a ON a.node_id = t.src JOIN nodes b ON b.node_id = t.dst) WHERE wgt > 0)")
+    + "SELECT s.node_id AS src, d.node_id AS dst, round(coalesce(p.wgt, 0), 4) + 0.0 AS wgt FROM nodes s CROSS JOIN nodes d LEFT JOIN (SELECT a.src, b.dst, sum(a.wgt * b.wgt) AS wgt FROM m a JOIN m b ON a.dst = b.src GROUP BY 1, 2) p ON p.src = s.node_id AND p.dst = d.node_id"
+)
+def netmf_small_squared(spark, folder):
+    """The embedding V holds U sqrt(|S|) of the window matrix M = U S U', here of all its parts, so (V V')^2 = M^2."""
+    g = _small(spark, folder)
+    found = base.netmf_small(g, replace(SMALL, embed_dim=g.nodes.count(), eigen_rounds=3)).toPandas()
+    ids, v = found.node_id.to_numpy(), np.array(found.vec.tolist())
+    square = v @ (v.T @ v) @ v.T
+    rows = [(int(a), int(b), round(float(square[i, j]), 4) + 0.0) for i, a in enumerate(ids) for j, b in enumerate(ids)]
+    return spark.createDataFrame(rows, "src long, dst long, wgt double")
+
+
 @query()
 def grarep_embed(spark, folder):
     return base.grarep(_small(spark, folder), SMALL)

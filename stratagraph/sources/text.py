@@ -10,6 +10,12 @@ from ..operators.graph import Graph, dense_index, from_pairs
 FORMATS = ("edgelist", "metis")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file is there, in whatever store Spark reads the path from."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(own)
+
+
 def data_path(name: str, fmt: str, root: str = "./dataset") -> str:
     return f"{root}/{name}.{fmt}"
 
