@@ -298,20 +298,40 @@ def brute_hits(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)
 
 
-def test_decontamination(docs, benchmark, empty):
+def test_decontamination(docs, benchmark, empty, monkeypatch):
     items = [(r.item_id, r.text) for r in benchmark.collect()]
     wanted = collections.Counter((r.doc_id, *brute_hits(r.text, items)) for r in docs.select("doc_id", "text").collect())
     assert sum(x[-1] for x in wanted) >= 3
     assert collections.Counter(map(tuple, decontaminate.contamination_report(docs, benchmark).collect())) == wanted
-    # In blocks of few items too.
-    found = decontaminate.find_contamination(docs.select("doc_id", "text"), benchmark, block_bytes=20)
-    assert collections.Counter((r.doc_id, r.n_words) for r in found.collect() if r.spans) == collections.Counter((x[0], x[1]) for x in wanted.elements() if x[-1])
+    # A benchmark that is joined by shuffles too, with and without a sieve.
+    for sifted in (1 << 23, 0):
+        monkeypatch.setattr(decontaminate, "SIFTED", sifted)
+        found = decontaminate.find_contamination(docs.select("doc_id", "text"), benchmark, block_bytes=20)
+        by_join = found.drop("row", "text").mapInArrow(decontaminate._digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+        assert collections.Counter(map(tuple, by_join.collect())) == wanted
+    assert decontaminate.find_contamination(empty, benchmark, block_bytes=20).count() == 0
     kept = decontaminate.drop_contaminated(docs, benchmark)
     assert kept.columns == docs.columns and kept.count() == sum(not x[-1] for x in wanted.elements())
     assert decontaminate.contamination_report(docs, benchmark.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.contamination_report(empty, benchmark).count() == 0
 
 
+def test_decontamination_of_common_tokens_and_long_texts(spark):
+    """Windows whose tokens are common, windows at both ends of a text, and a text of more than a step."""
+    item = sentence(14)
+    w = item.split()
+    texts = [item, " ".join(w[:9]), " ".join(w[2:12]), f"{' '.join(w[:10])} {' '.join(w[:10])} x", f"a {' '.join(w[4:])}", *[f"{' '.join(w[:5])} {sentence(8)}" for _ in range(40)]]
+    texts.append(sentence(250_000) + " " + " ".join(w[3:13]).upper() + " " + sentence(20_000))
+    docs = spark.createDataFrame(rows(texts), SCHEMA).repartition(3)
+    items = [(1, item), (2, " ".join(w[:4])), (3, sentence(200))]
+    wanted = collections.Counter((i, *brute_hits(t, items)) for i, t in enumerate(texts[:-1]))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for size in (4 << 20, 10):
+        out = decontaminate.find_contamination(docs, benchmark, block_bytes=size).drop("row", "text").mapInArrow(decontaminate._digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean").collect()
+        assert collections.Counter(tuple(r) for r in out if r.doc_id < len(texts) - 1) == wanted
+        assert [(r.n_words, r.contaminated) for r in out if r.doc_id == len(texts) - 1] == [(270_010, True)]
+
+
 # Language model
 
 
