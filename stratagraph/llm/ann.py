@@ -2,7 +2,8 @@
 
 Equal vectors are one node (with its least ids, as many as an answer can need), so that a large group of copies costs no more
 than one vector. The graph's nearness is the inner product itself, so that long vectors stand near many. The graph starts from
-the exact neighbours within random blocks, dealt several times. In each round every node brings its neighbours, and those that have it as theirs, together, and each of them learns of its nearest among the others:
+the exact neighbours within blocks, dealt several times: in the order of the sides of random planes that vectors lie on, so that
+a block holds vectors of much the same direction, and the blocks of one dealing overlap those of the others. In each round every node brings its neighbours, and those that have it as theirs, together, and each of them learns of its nearest among the others:
 neighbours of neighbours, by Spark joins on node ids. The vectors that travel are quantised to bytes; answers are ranked by
 the original vectors in double precision.
 
@@ -37,8 +38,8 @@ class Descent:
     #: Of each meeting, of how many others, if nearer than those it has, a node learns.
     learnt: int = 12
     block: int = 512
-    dealings: int = 3
-    rounds: int = 5
+    dealings: int = 4
+    rounds: int = 2
     #: Search: beam, nodes opened in a step, steps.
     beam: int = 400
     opened: int = 48
@@ -95,6 +96,22 @@ def _rows(owner: np.ndarray, other: np.ndarray, near: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(other, pa.int64()), pa.array(near, pa.float32())], names=["u", "v", "near"])
 
 
+def _sided(dealing: int, planes: int = 16):
+    """Adds to each node on which sides of a dealing's random planes it lies, the first plane's first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        normal = None
+        for batch in batches:
+            if len(batch):
+                x = unpack(batch.column("code").to_pylist())
+                if normal is None:
+                    normal = np.random.default_rng(dealing).normal(size=(x.shape[1], planes)).astype(np.float32)
+                sides = (x @ normal > 0) @ (1 << np.arange(planes - 1, -1, -1))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("code"), pa.array(sides.astype(np.int32))], names=["node", "code", "sides"])
+
+    return run
+
+
 def _blocks(p: Descent, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes: list[int] = []
@@ -165,8 +182,14 @@ def nn_descent(nodes: DataFrame, p: Descent = Descent()) -> DataFrame:
     parts = max(1, min(width(nodes.sparkSession), total // p.block))
     if total <= p.block // 2:
         return cut(nodes.repartition(1).mapInArrow(_blocks(p, most), "u long, v long, near float"), "ann-graph")  # complete
-    # Blocks dealt anew several times: what only one dealing has brought together is linked to the rest by the others.
-    dealt = [nodes.repartition(parts, F.xxhash64("node", F.lit(2 * k))).sortWithinPartitions(F.xxhash64("node", F.lit(2 * k + 1))).mapInArrow(_blocks(p, most // 2), "u long, v long, near float") for k in range(p.dealings)]
+    # Blocks dealt anew several times: what only one dealing has brought together is linked to the rest by the others. The last
+    # dealing is by chance alone, so that no part of the graph stays apart.
+    dealt = []
+    for k in range(p.dealings):
+        keyed = nodes.mapInArrow(_sided(k), "node long, code binary, sides int") if k + 1 < p.dealings else nodes.withColumn("sides", F.lit(0))
+        order = ["sides", F.xxhash64("node", F.lit(k))]
+        blocks = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("node", "code")
+        dealt.append(blocks.mapInArrow(_blocks(p, most // 2), "u long, v long, near float"))
     graph = cut(reduce(DataFrame.union, dealt).groupBy("u", "v").agg(F.max("near").alias("near")), "ann-graph")
     for _ in range(p.rounds):
         back = nearest_of(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "near"), "u", "v", p.reverse)
