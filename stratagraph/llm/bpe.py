@@ -69,7 +69,9 @@ CAPITALS_SINCE = (
     (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
     (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
 )
+#: As a table for single characters, with the capital that the library makes no final letter of.
 SMALL = {first + i: small + i for first, last, small in CAPITALS_SINCE for i in range(last - first + 1)} | {ord("Σ"): ord("σ")}
+CAPITAL = regex.compile("[" + "".join(map(chr, SMALL)) + "]")
 
 
 @lru_cache(1)
@@ -229,8 +231,10 @@ class Table:
             self.clear()
         rows, state, met = self.rows, 0, []
         for s in symbols:
-            following = rows.get(state << 9 | s)
-            state = self.step(state, s) if following is None else following
+            try:
+                state = rows[state << 9 | s]
+            except KeyError:
+                state = self.step(state, s)
             met.append(state)
         ends, length, path, at = self.ends, self.length, [], len(met)
         while at:
@@ -278,18 +282,19 @@ class Encoder:
             words = [chunk[m.start() : m.end()] for m in self.split.finditer(masked)]
         for word in words:
             tokens += self.walk(word.encode())
-        found = array("I", tokens).tobytes()
+        ids = array("I", tokens).tobytes()
         if len(chunk) < 256:
             if len(self.pieces) >= KEPT_PIECES:
                 self.pieces, self.older = {}, self.pieces
-            self.pieces[chunk] = found
-        return found
+            self.pieces[chunk] = ids
+        return ids
 
     def normal(self, text: str) -> str:
         """Composed, lower-cased one character at a time (no final sigma)."""
         if text.isascii():
             return text.lower()
-        return unicodedata.normalize("NFC", text).translate(SMALL).lower()
+        text = unicodedata.normalize("NFC", text)
+        return (text.translate(SMALL) if CAPITAL.search(text) else text).lower()
 
     def encode(self, text: str | None) -> bytes:
         """Numbers, as little-endian 32 bits, of a whole text."""
