@@ -45,7 +45,7 @@ class Repeats:
     window: int = 200
     gram: int = 64
     #: Bytes of segments in one suffix array, and different segments of one anchor before it is split.
-    shard: int = 2 << 20
+    shard: int = 1 << 20
     split: int = 1024
     #: One text in `sample` tells which anchors are so common that their segments are dealt to all tasks: those of `hot` or more
     #: different segments there, 4,096 anchors at most. It only says how to deal, never what is found.
@@ -228,7 +228,7 @@ def _pack_anchors(p: Repeats, parts: int, hot: np.ndarray):
                 held.append((keys[lo:hi], text + texts_so_far, *rest))
                 texts_so_far += hi - lo
                 size += len(text)
-                if size > 400_000:
+                if size > 300_000:
                     yield from out()
                     held, size, texts_so_far = [], 0, 0
         if held:
