@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut, width
@@ -80,8 +80,8 @@ def dense_index(ids: DataFrame, column: str) -> DataFrame:
     ordered = ids.select(F.col(column).alias("ext_id")).distinct().repartitionByRange(width(spark), "ext_id").sortWithinPartitions("ext_id")
     # The lower 33 bits of the running id count the rows of a partition.
     placed = cut(ordered.select("ext_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")), "index")
-    counts = placed.groupBy("part").count()
-    before = counts.alias("a").join(F.broadcast(counts.alias("b")), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("before"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
     return placed.join(F.broadcast(before), "part").select("ext_id", (F.col("before") + F.col("at")).alias("node_id"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph, dense_index, from_pairs
@@ -51,7 +51,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value) of one file, from 0: lines are counted by block, and each block starts after those before it."""
     raw = spark.read.text(path).select("value", F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("id"))
     blocks = raw.groupBy("block").agg(F.min("id").alias("first"), F.count("*").alias("n"))  # one row for each split of the file
-    before = blocks.alias("a").join(F.broadcast(blocks.alias("b")), F.col("b.block") < F.col("a.block"), "left").groupBy("a.block", "a.first").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select("block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     return raw.join(F.broadcast(before), "block").select((F.col("before") + F.col("id") - F.col("first")).alias("line"), "value")
 
 

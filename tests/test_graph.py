@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stratagraph.config import Config
 from stratagraph.operators import coarsen, graph, matching, vectors, walks
@@ -191,6 +192,18 @@ def test_metis(spark, tmp_path):
     assert triples(text.read_graph(spark, str(tmp_path / "b.metis"), "metis")[0].edges) == [(0, 1, 5.0), (1, 0, 5.0)]
 
 
+def test_lines_are_counted_over_blocks(spark, tmp_path):
+    lines = [str(i * i) for i in range(2000)]
+    (tmp_path / "long.txt").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        counted = text.numbered_lines(spark, str(tmp_path / "long.txt"))
+        assert spark.read.text(str(tmp_path / "long.txt")).select(F.input_file_block_start()).distinct().count() > 1
+        assert [tuple(r) for r in counted.orderBy("line").collect()] == list(enumerate(lines))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_truth_and_embeddings(spark, tmp_path):
     (tmp_path / "x.truth").write_text("1 0 1\n3 1 1\n")
     assert sorted((r.node_id, list(r.y)) for r in text.read_truth(spark, str(tmp_path / "x.truth"), first=1).collect()) == [(0, [0, 1]), (2, [1, 1])]
