@@ -255,6 +255,22 @@ def test_base_embeddings(spark, name):
     assert {len(r.vec) for r in rows} == {4}
 
 
+def test_sdne_spells_out_no_matrix(spark, monkeypatch):
+    """The adjacency of 3,000 nodes would be 72 MB; and blocks of columns give the same codes as all columns at once."""
+    import tracemalloc
+
+    star = make(spark, [(0, i, float(i % 5 + 1)) for i in range(1, 3000)])
+    tracemalloc.start()
+    assert base.sdne(star, SMALL).count() == 3000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+    whole = sorted(base.sdne(ring(spark), SMALL).collect())
+    monkeypatch.setattr(base, "COLUMNS", 7)
+    parts = sorted(base.sdne(ring(spark), SMALL).collect())
+    assert np.allclose([r.vec for r in whole], [r.vec for r in parts], rtol=0, atol=1e-12)
+
+
 def test_unknown_names(spark):
     with pytest.raises(ValueError, match="base"):
         base.base_embedding("none")
