@@ -271,6 +271,38 @@ def test_sdne_spells_out_no_matrix(spark, monkeypatch):
     assert np.allclose([r.vec for r in whole], [r.vec for r in parts], rtol=0, atol=1e-12)
 
 
+@pytest.mark.parametrize("name", ["netmf_small", "grarep"])
+def test_powers_by_rows_are_powers_by_joins(spark, monkeypatch, name):
+    """With nodes that are alike, a loop, and a node without edges; the matrix of all pairs is made of no joined table."""
+    pairs = [(2 * i, 2 * k + 1, float((i % 3) * (k + 1) % 4 + 1)) for i in range(12) for k in range(3)] + [(5, 5, 2.0), (40, 41, 1.0)]
+    g = make(spark, pairs, [*range(0, 24, 2), 1, 3, 5, 40, 41, 50])
+    assert len(base.alike(g).size) < 15
+    with monkeypatch.context() as m:
+        m.setattr(base, "power_sum", None)
+        m.setattr(base, "_log_transitions", lambda *_: None)
+        rows = np.array([r.vec for r in sorted(base.base_embedding(name)(g, SMALL).collect())])
+        wide = np.array([r.vec for r in sorted(base.base_embedding(name)(g, Config(embed_dim=36, window=2, eigen_rounds=8)).collect())])
+    monkeypatch.setattr(base, "BROADCAST_LIMIT", 0)
+    joins = np.array([r.vec for r in sorted(base.base_embedding(name)(g, SMALL).collect())])
+    assert rows.shape == joins.shape == (18, 4)
+    assert np.allclose(rows @ rows.T, joins @ joins.T, atol=1e-3)
+    assert wide.shape[0] == 18
+
+
+def test_rows_times_rows():
+    """Dense and by entries, beside the plain product."""
+    rng = np.random.default_rng(5)
+    for share in (0.03, 0.6):
+        a = rng.random((40, 40)) * (rng.random((40, 40)) < share)
+        at, cols = np.nonzero(a)
+        rows = base.Rows(np.arange(40), np.searchsorted(at, np.arange(41)), cols, a[at, cols])
+        x, seen = rows.dense(np.array([3, 1, 7])), {}
+        assert np.array_equal(x, a[[3, 1, 7]])
+        for _ in range(2):
+            assert np.allclose(rows.times(x, seen), x @ a)
+        assert np.allclose(rows.times(np.ones((300, 40)), seen), np.ones((300, 40)) @ a)
+
+
 def test_unknown_names(spark):
     with pytest.raises(ValueError, match="base"):
         base.base_embedding("none")
