@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,10 +89,21 @@ def read_truth(spark: SparkSession, path: str, index: DataFrame | None = None, f
 
 
 def embedding_lines(embeddings: DataFrame, index: DataFrame | None = None, first: int = 0) -> DataFrame:
-    """(ext_id, line) with lines `id v1 ... vd` of six decimals."""
+    """(ext_id, line) with lines `id v1 ... vd` of six decimals.
+
+    Digits are those of C's printf and of Python: a value's binary fraction is rounded, a tie to the even digit. (Java rounds its
+    shortest decimal, ties up.) Empty places are left out; a row without a vector has no line."""
     named = embeddings.join(index, "node_id") if index is not None else embeddings.withColumn("ext_id", F.col("node_id") + first)
-    numbers = F.transform("vec", lambda x: F.format_string("%.6f", x))
-    return named.select("ext_id", F.concat_ws(" ", F.col("ext_id").cast("string"), F.array_join(numbers, " ")).alias("line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [
+                None if vec is None else f"{i} " + (("%.6f " * len(vec))[:-1] % tuple(vec) if None not in vec else " ".join(["%.6f" % x for x in vec if x is not None]))
+                for i, vec in zip(batch.column("ext_id").to_pylist(), batch.column("vec").to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("ext_id"), pa.array(lines, pa.string())], names=["ext_id", "line"])
+
+    return named.select(F.col("ext_id").cast("long").alias("ext_id"), "vec").mapInArrow(run, "ext_id long, line string")
 
 
 def write_embeddings(embeddings: DataFrame, path: str, index: DataFrame | None = None, first: int = 0) -> None:

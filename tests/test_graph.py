@@ -214,6 +214,16 @@ def test_truth_and_embeddings(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["1 1.000000 -0.250000", "2 0.000000 2.000000"]
 
 
+def test_digits_of_lines(spark):
+    """Ties go to the even digit of the binary value; what is no number, and empty places, as the SQL writes them."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(0, [2.0**-7, 3 * 2.0**-7, -(2.0**-7)]), (1, [0.0000005, 1.0000005, 2.5e-7]), (2, [float("nan"), float("inf"), -float("inf"), -0.0]), (3, [None, 1.5]), (4, None), (5, []), (6, [1e20, -1e-9])]
+    found = {r.ext_id: r.line for r in text.embedding_lines(spark.createDataFrame(rows, "node_id long, vec array<double>")).collect()}
+    assert found[0] == "0 0.007812 0.023438 -0.007812"
+    for i, vec in rows:
+        assert found[i] == duckdb.execute("SELECT ? || ' ' || array_to_string(list_transform(?::DOUBLE[], lambda x: format('{:.6f}', x)), ' ')", [str(i), vec]).fetchone()[0], i
+
+
 def test_vectors(spark):
     e = spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, [6.0, 4.0])], "node_id long, vec array<double>")
     unit = {r.node_id: r.vec for r in vectors.l2_normalise(e).collect()}
