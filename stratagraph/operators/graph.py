@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut, width
@@ -65,11 +65,16 @@ def volume(edges: DataFrame) -> DataFrame:
     return edges.agg(F.sum("wgt").alias("volume"))
 
 
+def normal_weight(wgt: str, ds: str, dd: str, digits: int = 12) -> Column:
+    """wgt / sqrt(degree of src * degree of dst), rounded so that ties are ties everywhere."""
+    return F.round(F.col(wgt) / F.sqrt(F.col(ds) * F.col(dd)), digits)
+
+
 def normalised_weights(graph: Graph, digits: int = 12) -> DataFrame:
-    """(src, dst, wgt, nw) with nw = wgt / sqrt(degree of src * degree of dst), rounded so that ties are ties everywhere."""
+    """(src, dst, wgt, nw) with the normal weight."""
     d = graph.nodes.select("node_id", "degree")
     out = graph.edges.join(d.withColumnsRenamed({"node_id": "src", "degree": "ds"}), "src").join(d.withColumnsRenamed({"node_id": "dst", "degree": "dd"}), "dst")
-    return out.select("src", "dst", "wgt", F.round(F.col("wgt") / F.sqrt(F.col("ds") * F.col("dd")), digits).alias("nw"))
+    return out.select("src", "dst", "wgt", normal_weight("wgt", "ds", "dd", digits).alias("nw"))
 
 
 def dense_index(ids: DataFrame, column: str) -> DataFrame:

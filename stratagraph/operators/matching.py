@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut
-from .graph import Graph, normalised_weights
+from .graph import Graph, dense_index, normal_weight, normalised_weights
 
 PRIME = 2**31 - 1
 
@@ -116,10 +116,40 @@ def _in_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.repartition(1).mapInArrow(_matched, "a long, b long")
 
 
+def _visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The greedy matching of edges (src, dst, ...) that come in the order of visits, each node's heaviest first. What is held is one
+    byte for each node, by the numbers 0, 1, ... that src and dst are."""
+    taken = bytearray()
+    for batch in batches:
+        src, dst = (batch.column(c).to_numpy() for c in ("src", "dst"))
+        if not len(src):
+            continue
+        taken.extend(bytes(max(0, int(max(src.max(), dst.max())) + 1 - len(taken))))
+        held = np.frombuffer(taken, np.uint8)
+        # What is taken already stays so; the few others are gone through one by one.
+        open_ = np.flatnonzero((held[src] | held[dst]) == 0)
+        del held
+        a, b = [], []
+        for x, y in zip(src[open_].tolist(), dst[open_].tolist(), strict=True):
+            if not taken[x] and not taken[y]:
+                taken[x] = taken[y] = 1
+                a.append(x)
+                b.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def heavy_sequential(graph: Graph, free: DataFrame, most: float) -> DataFrame:
-    """(a, b): the greedy matching of the free nodes in the order (n_adj, node_id), in one task. For graphs below a threshold."""
-    edges = _eligible(_among(normalised_weights(graph), free), graph.nodes, most)
-    return _in_order(edges, graph.nodes.join(free, "node_id", "left_semi"))
+    """(a, b): the greedy matching of the free nodes in the order (n_adj, node_id), in one task, which edges pass through sorted by
+    Spark: it holds a byte for each node. Nodes go by their places in that order."""
+    own = graph.nodes.join(free, "node_id", "left_semi").select("n_adj", "node_id", "degree", "node_wgt")
+    places = cut(dense_index(own.select(F.struct("n_adj", "node_id").alias("visit")), "visit").select("ext_id.node_id", F.col("node_id").alias("place")), "visits")
+    nodes = cut(own.join(places, "node_id").select("node_id", "place", "degree", "node_wgt"), "visits")
+    ends = [nodes.select(F.col("node_id").alias(c), F.col("place").alias(c + "_at"), F.col("degree").alias("d" + c), F.col("node_wgt").alias("w" + c)) for c in ("src", "dst")]
+    both = graph.edges.filter("src <> dst").join(ends[0], "src").join(ends[1], "dst").filter(F.col("wsrc") + F.col("wdst") <= most)
+    edges = both.select(F.col("src_at").alias("src"), F.col("dst_at").alias("dst"), F.col("dst").alias("id"), normal_weight("wgt", "dsrc", "ddst").alias("nw"))
+    pairs = edges.repartition(1).sortWithinPartitions("src", F.desc("nw"), "id").select("src", "dst").mapInArrow(_visited, "a long, b long")
+    names = [places.select(F.col("node_id").alias(x), F.col("place").alias(c)) for c, x in (("a", "x"), ("b", "y"))]
+    return cut(pairs, "visited").join(names[0], "a").join(names[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def _among(weighted: DataFrame, free: DataFrame) -> DataFrame:

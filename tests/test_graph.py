@@ -112,6 +112,25 @@ def test_greedy_order():
         assert list(zip(a.tolist(), b.tolist(), strict=True)) == wanted
 
 
+def test_greedy_edges_pass_through(spark, monkeypatch):
+    """The matching by edges that pass through is that on arrays, with loops, heavy pairs and nodes that are not free; no task holds
+    all edges."""
+    rng = np.random.default_rng(2)
+    g = make(spark, [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 60, 400), rng.integers(0, 60, 400), rng.integers(1, 4, 400), strict=True)])
+    g = graph.Graph(g.nodes.withColumn("node_wgt", 1.0 + F.col("node_id") % 3), g.edges)
+    free = g.nodes.filter("node_id % 7 <> 0").select("node_id")
+    edges = matching._eligible(matching._among(graph.normalised_weights(g), free), g.nodes, 4.0)
+    wanted = sorted(map(tuple, matching._in_order(edges, g.nodes.join(free, "node_id", "left_semi")).collect()))
+    monkeypatch.setattr(matching, "_in_order", None)
+    assert sorted(map(tuple, matching.heavy_sequential(g, free, 4.0).collect())) == wanted
+    assert 15 < len(wanted) < 30
+    batches = [[(0, 2), (0, 3)], [], [(0, 5), (1, 2), (1, 3)], [(2, 0)], [(3, 1), (4, 5)]]
+    import pyarrow as pa
+
+    parts = [pa.RecordBatch.from_pydict({"src": pa.array([x for x, _ in b], pa.int64()), "dst": pa.array([y for _, y in b], pa.int64())}) for b in batches]
+    assert [(r["a"], r["b"]) for p in matching._visited(iter(parts)) for r in p.to_pylist()] == [(0, 2), (1, 3), (4, 5)]
+
+
 def test_rounds_above_the_threshold_whatever_the_flag(spark, monkeypatch):
     """A large graph is never matched in one task unless asked for."""
     monkeypatch.setattr(coarsen, "heavy_sequential", None)
