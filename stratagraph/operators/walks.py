@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import pick, uniform
@@ -19,16 +19,43 @@ def running_lists(edges: DataFrame) -> DataFrame:
     return listed.select("src", F.col("p.dst").alias("dsts"), F.col("p.s").alias("sums"))
 
 
-def random_walks(edges: DataFrame, starts: DataFrame, length: int, seed: int = 123, lists: DataFrame | None = None, every: int = 16) -> DataFrame:
+#: Neighbours that a draw goes through, in the mean.
+BIN = 32
+
+
+def binned_lists(edges: DataFrame) -> DataFrame:
+    """(src, bin, bins, total, dsts, sums): as running lists, each cut into bins of equal weight, ceil(n / BIN) for n neighbours.
+
+    A neighbour stands in every bin that its share of the running weights touches, as the same product tells for a draw (it never
+    falls as weights grow), so the first neighbour above a draw is in the draw's bin. A hub's list is never copied for a walk."""
+    spec = Window.partitionBy("src")
+    order = spec.orderBy("dst").rowsBetween(Window.unboundedPreceding, 0)
+    summed = edges.select("src", "dst", F.sum("wgt").over(order).alias("s"), F.coalesce(F.sum("wgt").over(spec.orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
+    whole = summed.groupBy(F.col("src").alias("node")).agg(F.max_by("s", "dst").alias("total"), F.ceil(F.count("*") / BIN).cast("int").alias("bins"))
+    placed = summed.join(whole, F.col("src") == F.col("node")).drop("node")
+    spans = F.explode(F.sequence(bin_of(F.col("before"), F.col("total"), F.col("bins")), bin_of(F.col("s"), F.col("total"), F.col("bins"))))
+    listed = placed.select("src", "dst", "s", "total", "bins", spans.alias("bin")).groupBy("src", "bin", "bins", "total").agg(F.sort_array(F.collect_list(F.struct("dst", "s"))).alias("p"))
+    return listed.select("src", "bin", "bins", "total", F.col("p.dst").alias("dsts"), F.col("p.s").alias("sums"))
+
+
+def bin_of(at: Column, total: Column, bins: Column) -> Column:
+    share = F.when(total > 0, at / total * bins).otherwise(0.0)
+    return F.least(F.floor(share).cast("int"), bins - 1)
+
+
+def random_walks(edges: DataFrame, starts: DataFrame, length: int, seed: int = 123, every: int = 8) -> DataFrame:
     """(walk_id, path) of `length` steps from starts (walk_id, node_id); the next node is drawn in proportion to weights.
 
-    A step is one join to the adjacency lists. A node without neighbours ends its walk."""
-    lists = lists if lists is not None else cut(running_lists(edges), "lists")
+    A step is a join to the nodes' total weights and one to the bins of the adjacency lists. A node without neighbours ends its walk."""
+    lists = cut(binned_lists(edges), "lists")
+    totals = cut(lists.select(F.col("src").alias("node"), "total", "bins").distinct(), "totals")
+    lists = lists.select("src", "bin", "dsts", "sums")
     walks = starts.select("walk_id", F.array("node_id").alias("path"), F.col("node_id").alias("at"))
     for step in range(1, length + 1):
-        moved = walks.join(lists, walks["at"] == lists["src"], "left")
-        following = pick(F.col("dsts"), F.col("sums"), uniform(seed, F.col("walk_id"), step) * F.element_at("sums", -1))
-        moved = moved.withColumn("to", F.when(F.col("src").isNotNull(), following))
+        drawn = walks.join(totals, walks["at"] == totals["node"], "left").withColumn("draw", uniform(seed, F.col("walk_id"), step) * F.col("total"))
+        drawn = drawn.select("walk_id", "path", "node", "draw", bin_of(F.col("draw"), F.col("total"), F.col("bins")).alias("in_bin"))
+        moved = drawn.join(lists, (F.col("node") == F.col("src")) & (F.col("in_bin") == F.col("bin")), "left")
+        moved = moved.withColumn("to", F.when(F.col("src").isNotNull(), pick(F.col("dsts"), F.col("sums"), F.col("draw"))))
         walks = moved.select("walk_id", F.when(F.col("to").isNotNull(), F.concat("path", F.array("to"))).otherwise(F.col("path")).alias("path"), F.col("to").alias("at"))
         if step % every == 0:
             walks = cut(walks, "walks")

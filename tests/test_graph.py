@@ -268,6 +268,20 @@ def test_walks(spark):
     assert walks.random_walks(dead, spark.createDataFrame([(5, 0)], "walk_id long, node_id long"), 4).first().path == [0, 1]
 
 
+def test_no_walk_carries_a_hub(spark):
+    """Lists of a hub come in bins, and what is drawn from them is what the whole list gives."""
+    g = make(spark, [(0, i, float(i % 4 + 1) if i != 50 else 400.0) for i in range(1, 200)] + [(3, 4, 0.5)])
+    bins = walks.binned_lists(g.edges).filter("src = 0").collect()
+    assert len(bins) == 7 and max(len(r.dsts) for r in bins) < 120
+    whole = {r.src: (r.dsts, r.sums) for r in walks.running_lists(g.edges).collect()}
+    paths = walks.random_walks(g.edges, walks.starts_of(g.nodes, 2), 4).withColumn("u", F.array(*[walks.uniform(123, F.col("walk_id"), k) for k in range(1, 5)])).collect()
+    for r in paths:
+        for k in range(4):
+            dsts, sums = whole[r.path[k]]
+            assert r.path[k + 1] == dsts[min(int(np.searchsorted(sums, r.u[k] * sums[-1], "right")), len(dsts) - 1)]
+    assert len(paths) == 400
+
+
 def test_samples_follow_weights(spark):
     g = make(spark, [(0, 1, 1.0), (0, 2, 9.0)])
     drawn = walks.neighbour_samples(g.edges, g.nodes.filter("node_id = 0").select("node_id"), 2000).groupBy("neighbor").count().collect()
