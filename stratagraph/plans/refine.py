@@ -23,7 +23,11 @@ from ..operators.vectors import gcn_operator, pooled, project, propagate
 from ..operators.walks import neighbour_samples
 from ..storage import cut, width
 from .base import Adam, glorot
-from .linear import lists, map_rows, rows_of
+from .linear import lists, map_rows, matrix, rows_of
+
+
+#: Bytes of vectors and goals of all nodes that each task of a training may hold.
+SENT_LIMIT = 128 << 20
 
 
 def _unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,6 +150,8 @@ class Gcn:
         """The same steps with every product of the operator a join, and the weights' gradients sums over tasks."""
         c, n = self.config, graph.nodes.count()
         op = cut(gcn_operator(graph.nodes, graph.edges, c.self_weight), "gcn-operator")
+        if 16 * n * c.embed_dim <= SENT_LIMIT:
+            return self._train_sent(op, start, target)
         zero = F.array_repeat(F.lit(0.0), c.embed_dim)
 
         def times(x: DataFrame) -> DataFrame:
@@ -175,6 +181,53 @@ class Gcn:
             adam.step([g0 + c.weight_decay * self.weights[0], g + c.weight_decay * self.weights[1]])
         return self
 
+    def _train_sent(self, op: DataFrame, start: DataFrame, target: DataFrame) -> Gcn:
+        """The same steps with one pass over the operator's packed rows for each, in tasks that hold the first product, which does not
+        change, and the goals. What is pulled back through the operator is added up by each task for its own rows alone: the first
+        weights' gradient is a sum over them, so vectors of nodes never move."""
+        c, (ids, goals) = self.config, matrix(target)
+        n, d, spark = len(ids), c.embed_dim, op.sparkSession
+        count = max(width(spark), op.count() >> 18)
+        sent_ids = spark.sparkContext.broadcast(ids)
+
+        def packed(rows: pa.Table) -> pa.Table:
+            src, dst = (np.searchsorted(sent_ids.value, rows.column(x).to_numpy()).astype(np.int32) for x in ("src", "dst"))
+            order = np.argsort(src, kind="stable")
+            parts = src[order], dst[order], rows.column("wgt").to_numpy()[order]
+            return pa.table({x: pa.array([p.tobytes()], pa.binary()) for x, p in zip(("at", "to", "wgt"), parts, strict=True)})
+
+        blocks = cut(op.withColumn("block", F.pmod(F.xxhash64("src"), F.lit(count))).groupBy("block").applyInArrow(packed, "at binary, to binary, wgt binary"), "gcn-blocks")
+        first, linked = np.zeros((n, d)), np.zeros(n, bool)
+        own, rows = matrix(propagate(op, start))
+        first[np.searchsorted(ids, own)], linked[np.searchsorted(ids, own)] = rows, True
+        alone = float((goals[~linked] ** 2).sum() / n)  # rows without entries stay 0
+        sent = spark.sparkContext.broadcast((first, goals))
+
+        def of(batch: pa.RecordBatch, w0: np.ndarray, w1: np.ndarray) -> tuple[float, list[np.ndarray]]:
+            low, wanted = sent.value
+            one, total, g0, g1 = np.tanh(low @ w0), 0.0, np.zeros_like(w0), np.zeros_like(w1)
+            for r in batch.to_pylist():
+                at, to, w = np.frombuffer(r["at"], np.int32), np.frombuffer(r["to"], np.int32), np.frombuffer(r["wgt"])
+                starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                nodes = at[starts]
+                loss, back, (g,) = _gcn_top(np.add.reduceat(w[:, None] * one[to], starts), wanted[nodes], w1, n)
+                place, order = np.repeat(np.arange(len(nodes)), np.diff(np.r_[starts, len(at)])), np.argsort(to, kind="stable")
+                there = to[order]
+                ends = np.flatnonzero(np.r_[True, there[1:] != there[:-1]])
+                pulled = np.add.reduceat(w[order, None] * back[place[order]], ends)
+                total, g1 = total + loss, g1 + g
+                g0 += low[there[ends]].T @ (pulled * (1 - one[there[ends]] ** 2))
+            return total, [g0, g1]
+
+        adam, stop = Adam(self.weights, c.learning_rate), Stopper(c.early_stop)
+        for _ in range(c.refine_epochs):
+            w0, w1 = (w.copy() for w in self.weights)
+            loss, (g0, g) = summed(blocks, lambda b, w0=w0, w1=w1: of(b, w0, w1))
+            if self._done(loss + alone, stop):
+                break
+            adam.step([g0 + c.weight_decay * self.weights[0], g + c.weight_decay * self.weights[1]])
+        return self
+
     def apply(self, graph: Graph, start: DataFrame) -> DataFrame:
         op = cut(gcn_operator(graph.nodes, graph.edges, self.config.self_weight), "gcn-operator")
         h = start

@@ -423,6 +423,26 @@ def test_training_apart_is_training_in_one_process(spark, changes):
     assert len(batches.losses) == 3
 
 
+def test_gcn_training_moves_no_vectors(spark, monkeypatch):
+    """Steps by packed rows are those in one process and those by joins, with a node without edges."""
+    from dataclasses import replace
+
+    g = make(spark, [(i, (i + k) % 12, float(k)) for i in range(12) for k in (1, 5)] + [(3, 3)], range(13))
+    start, target = (linear.random_rows(g.nodes, 4, seed).transform(vectors.l2_normalise).cache() for seed in (1, 2))
+    c = replace(SMALL, refine="gcn", refine_epochs=3, learning_rate=0.01)
+    near, far = refine.refine_model(c).train(g, start, target), replace(c, train_nodes=5)
+    joins = refine.propagate
+    calls = []
+    monkeypatch.setattr(refine, "propagate", lambda *a: calls.append(1) or joins(*a))
+    sent = refine.refine_model(far).train(g, start, target)
+    assert len(calls) == 1
+    monkeypatch.setattr(refine, "SENT_LIMIT", 0)
+    apart = refine.refine_model(far).train(g, start, target)
+    for other in (sent, apart):
+        assert np.allclose(near.losses, other.losses)
+        assert all(np.allclose(a, b) for a, b in zip(near.weights, other.weights, strict=True))
+
+
 def test_layers_applied_as_trained(spark):
     """What the DataFrames give is what the gradients' forward pass gives."""
     from dataclasses import replace
