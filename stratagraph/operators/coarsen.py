@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut
-from .graph import Graph
+from .graph import Graph, kept, sent
 from .matching import equivalent_exact, equivalent_minhash, heavy_rounds, heavy_sequential
 
 
@@ -28,11 +28,14 @@ def coarse_map(nodes: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFra
     return nodes.select("node_id").join(named, "node_id", "left").select("node_id", F.coalesce("c", "node_id").alias("coarse_id"))
 
 
-def coarse_edges(edges: DataFrame, cmap: DataFrame) -> DataFrame:
-    """Weights added up by coarse ends; what falls inside a group is its self-loop, both directions of it."""
+def coarse_edges(edges: DataFrame, cmap: DataFrame, keep: bool = False) -> DataFrame:
+    """Weights added up by coarse ends; what falls inside a group is its self-loop, both directions of it. With `keep` the map is a
+    work table, and a node's edges will stand together."""
+    cmap = sent(cmap) if keep else cmap
     a = cmap.withColumnsRenamed({"node_id": "src", "coarse_id": "cs"})
     b = cmap.withColumnsRenamed({"node_id": "dst", "coarse_id": "cd"})
-    return edges.join(a, "src").join(b, "dst").groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("wgt").alias("wgt"))
+    named = edges.join(a, "src").join(b, "dst").select(F.col("cs").alias("src"), F.col("cd").alias("dst"), "wgt")
+    return (named.repartition("src") if keep else named).groupBy("src", "dst").agg(F.sum("wgt").alias("wgt"))
 
 
 def coarse_nodes(nodes: DataFrame, cmap: DataFrame) -> DataFrame:
@@ -40,10 +43,11 @@ def coarse_nodes(nodes: DataFrame, cmap: DataFrame) -> DataFrame:
 
 
 def coarse_graph(graph: Graph, cmap: DataFrame) -> Graph:
-    edges = cut(coarse_edges(graph.edges, cmap), "coarse-edges")
+    made = coarse_edges(graph.edges, cmap, graph.kept)
+    edges = cut(made.sortWithinPartitions("src", "dst") if graph.kept else made, "coarse-edges")
     lists = edges.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("n_adj"))
     nodes = coarse_nodes(graph.nodes, cmap).join(lists, "node_id", "left").select("node_id", "node_wgt", "degree", F.coalesce("n_adj", F.lit(0)).alias("n_adj"))
-    return Graph(cut(nodes, "coarse-nodes"), edges)
+    return Graph(cut(nodes, "coarse-nodes"), edges, graph.kept)
 
 
 def coarsen_once(graph: Graph, most: float, parallel: bool = True, threshold: int = 10_000, k: int = 16, size: int | None = None, exact_order: bool = False) -> tuple[DataFrame, Graph]:
@@ -62,7 +66,7 @@ def coarsen_once(graph: Graph, most: float, parallel: bool = True, threshold: in
 def hierarchy(graph: Graph, factor_log2: int = 2, embed_dim: int = 128, parallel: bool = True, threshold: int = 10_000, k: int = 16, double_base: bool = False, exact_order: bool = False) -> list[Level]:
     """Levels from the graph itself to the coarsest: until no more than n / 2 ** factor_log2 nodes are left (one level more with
     `double_base`), or a level no longer shrinks. Raises ValueError if the coarsest is no larger than `embed_dim`."""
-    graph = Graph(cut(graph.nodes, "nodes"), cut(graph.edges, "edges"))
+    graph = kept(graph)
     size = graph.nodes.count()
     goal = max(1, size // 2**factor_log2)
     most = int(5.0 * size / goal)

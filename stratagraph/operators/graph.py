@@ -14,10 +14,37 @@ from pyspark.sql import functions as F
 from ..storage import cut, width
 
 
+#: Rows of a table of nodes that may be sent to all executors, so that edges meet them where they are.
+SENT_ROWS = 2_000_000
+
+
 @dataclass(frozen=True)
 class Graph:
+    """Nodes and edges; if `kept` both are work tables, and a node's edges stand together."""
+
     nodes: DataFrame
     edges: DataFrame
+    kept: bool = False
+
+
+def together(edges: DataFrame) -> DataFrame:
+    """Edges dealt by their src, in order: sums and maxima over a node's edges are all but made on the map side."""
+    return edges.repartition("src").sortWithinPartitions("src", "dst")
+
+
+def kept(graph: Graph) -> Graph:
+    return graph if graph.kept else Graph(cut(graph.nodes, "nodes"), cut(together(graph.edges), "edges"), True)
+
+
+def from_edges(edges: DataFrame) -> Graph:
+    """The kept graph of edges (src, dst, wgt) in both directions, each once; they are made once."""
+    edges = cut(together(edges), "edges")
+    return Graph(cut(degrees(edges).select("node_id", F.lit(1.0).alias("node_wgt"), "degree", "n_adj"), "nodes"), edges, True)
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """A work table of nodes, to be sent to all executors if its rows are few enough."""
+    return F.broadcast(rows) if rows.limit(SENT_ROWS + 1).count() <= SENT_ROWS else rows
 
 
 def symmetrise(pairs: DataFrame) -> DataFrame:
@@ -73,6 +100,7 @@ def normal_weight(wgt: str, ds: str, dd: str, digits: int = 12) -> Column:
 def normalised_weights(graph: Graph, digits: int = 12) -> DataFrame:
     """(src, dst, wgt, nw) with the normal weight."""
     d = graph.nodes.select("node_id", "degree")
+    d = sent(d) if graph.kept else d
     out = graph.edges.join(d.withColumnsRenamed({"node_id": "src", "degree": "ds"}), "src").join(d.withColumnsRenamed({"node_id": "dst", "degree": "dd"}), "dst")
     return out.select("src", "dst", "wgt", normal_weight("wgt", "ds", "dd", digits).alias("nw"))
 

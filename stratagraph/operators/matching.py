@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut
-from .graph import Graph, dense_index, normal_weight, normalised_weights
+from .graph import Graph, dense_index, normal_weight, normalised_weights, sent
 
 PRIME = 2**31 - 1
 
@@ -63,6 +63,28 @@ def best_neighbours(weighted: DataFrame) -> DataFrame:
     return weighted.filter("src <> dst").groupBy("src").agg(best).select("src", (-F.col("b.minus")).alias("dst"), F.col("b.nw").alias("nw"))
 
 
+def _best_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of neighbouring rows (src, dst, nw) of one src the heaviest, ties to the smaller dst (no weight the lightest, NaN the heaviest,
+    as Spark has it)."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        src, dst = (batch.column(c).to_numpy() for c in ("src", "dst"))
+        nw = batch.column("nw").fill_null(-np.inf).to_numpy(zero_copy_only=False)
+        nw = np.where(np.isnan(nw), np.inf, nw)
+        starts = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
+        best = nw == np.repeat(np.maximum.reduceat(nw, starts), np.diff(np.r_[starts, len(src)]))
+        first = np.minimum.reduceat(np.where(best, dst, np.iinfo(np.int64).max), starts)
+        at = np.flatnonzero(best & (dst == np.repeat(first, np.diff(np.r_[starts, len(src)]))))
+        at = at[np.r_[True, src[at][1:] != src[at][:-1]]]
+        yield batch.take(pa.array(at))
+
+
+def best_of_runs(weighted: DataFrame) -> DataFrame:
+    """Edges (src, dst, nw) that may be the heaviest of their src, where a node's edges stand together: few are left to compare."""
+    return weighted.select("src", "dst", "nw").filter("src <> dst").mapInArrow(_best_of_runs, "src long, dst long, nw double")
+
+
 def mutual_pairs(weighted: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs that are each other's heaviest edge, in the order (weight descending, edge), which all nodes share.
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +88,54 @@ def neighbour_samples(edges: DataFrame, nodes: DataFrame, size: int, layers: int
     return slots.select(F.col("layer").cast("long").alias("layer"), "node_id", F.col("slot").cast("long").alias("slot"), drawn.alias("neighbor"))
 
 
+def drawn_lists(edges: DataFrame, size: int, layers: int = 1, seed: int = 123, uniform_draw: bool = False, self_loops: bool = True) -> DataFrame:
+    """(layer, node_id, drawn): the different neighbours that `neighbour_samples` draws for each node with edges. Edges go by node
+    through tasks that hold one node's at a time."""
+    own = edges if self_loops else edges.filter("src <> dst")
+    own = own.select("src", "dst", F.lit(1.0).alias("wgt") if uniform_draw else F.col("wgt"))
+
+    def of(node: int, dsts: np.ndarray, wgts: np.ndarray) -> list[np.ndarray]:
+        sums, found = np.cumsum(wgts), []
+        for layer in range(layers):
+            text = f"{seed}:{layer}:{node}:"
+            draws = b"".join([hashlib.md5(f"{text}{slot}".encode()).digest()[:4] for slot in range(size)])
+            at = np.frombuffer(draws, ">u4") / 4294967296.0 * sums[-1]
+            found.append(np.unique(dsts[np.minimum(np.searchsorted(sums, at, "right"), len(dsts) - 1)]))
+        return found
+
+    def table(found: list[tuple[int, list[np.ndarray]]]) -> pa.RecordBatch:
+        parts = [(layer, node, x) for node, sets in found for layer, x in enumerate(sets)]
+        ends = np.cumsum([0] + [len(x) for _, _, x in parts])
+        drawn = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x for _, _, x in parts]), pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in parts], pa.int64()) for i in (0, 1)] + [drawn], names=["layer", "node_id", "drawn"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []  # of the last node, which may go on
+        for batch in batches:
+            if not len(batch):
+                continue
+            src, dst, wgt = (batch.column(c).to_numpy() for c in ("src", "dst", "wgt"))
+            starts = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
+            if held and held[0][0][0] == src[0]:
+                starts = starts[1:]
+            ends, found = np.r_[starts, len(src)], []
+            if held:
+                if ends[0]:
+                    held.append((src[: ends[0]], dst[: ends[0]], wgt[: ends[0]]))
+                if not len(starts):
+                    continue
+                found.append((int(held[0][0][0]), of(int(held[0][0][0]), *(np.concatenate([h[i] for h in held]) for i in (1, 2)))))
+            found += [(int(src[a]), of(int(src[a]), dst[a:b], wgt[a:b])) for a, b in zip(ends[:-2].tolist(), ends[1:-1].tolist(), strict=True)]
+            last = starts[-1]
+            held = [(src[last:], dst[last:], wgt[last:])]
+            if found:
+                yield table(found)
+        if held:
+            yield table([(int(held[0][0][0]), of(int(held[0][0][0]), *(np.concatenate([h[i] for h in held]) for i in (1, 2))))])
+
+    return own.repartition("src").sortWithinPartitions("src", "dst").mapInArrow(run, "layer long, node_id long, drawn array<long>")
+
+
 def frontiers(samples: DataFrame, batch: DataFrame, layers: int) -> DataFrame:
     """(layer, node_id): the batch as layer 0, then the different neighbours drawn for the layer before."""
     out = [batch.select("node_id").distinct()]

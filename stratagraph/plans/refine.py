@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from ..config import Config
 from ..functions.columns import unit
 from ..operators.graph import Graph
 from ..operators.vectors import gcn_operator, pooled, project, propagate
-from ..operators.walks import neighbour_samples
+from ..operators.walks import drawn_lists
 from ..storage import cut, width
 from .base import Adam, glorot
 from .linear import lists, map_rows, matrix, rows_of
@@ -28,6 +29,8 @@ from .linear import lists, map_rows, matrix, rows_of
 
 #: Bytes of vectors and goals of all nodes that each task of a training may hold.
 SENT_LIMIT = 128 << 20
+#: The same of the sampling model, whose tasks hold no products beside them.
+SAMPLED_LIMIT = 256 << 20
 
 
 def _unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,9 +63,9 @@ def _small(graph: Graph, config: Config) -> bool:
     return graph.nodes.limit(config.train_nodes + 1).count() <= config.train_nodes
 
 
-def summed(rows: DataFrame, f: Callable[[pa.RecordBatch], tuple[float, list[np.ndarray]]]) -> tuple[float, list[np.ndarray]]:
+def summed(rows: DataFrame, f: Callable[[pa.RecordBatch], tuple[float, list[np.ndarray]]], few_tasks: bool = False) -> tuple[float, list[np.ndarray]]:
     """(sum of the numbers, sums of the arrays) that f gives for each batch: every task adds up its own, a few tasks those of the
-    others, and the driver what these have made."""
+    others (not if the tasks are few themselves), and the driver what these have made."""
 
     def pack(total: float, sums: list[np.ndarray]) -> pa.RecordBatch:
         shapes = [list(x.shape) for x in sums]
@@ -92,7 +95,8 @@ def summed(rows: DataFrame, f: Callable[[pa.RecordBatch], tuple[float, list[np.n
 
     shape = "total double, sums binary, shapes array<array<long>>"
     few = max(1, int(width(rows.sparkSession) ** 0.5))
-    found = rows.mapInArrow(first, shape).repartition(few).mapInArrow(again, shape).collect()
+    parts = rows.mapInArrow(first, shape)
+    found = (parts if few_tasks else parts.repartition(few).mapInArrow(again, shape)).collect()
     return sum(r.total for r in found), [reduce(np.add, x) for x in zip(*(unpack(r.sums, r.shapes) for r in found), strict=True)]
 
 
@@ -318,18 +322,22 @@ class GraphSage:
                 best = brought == pool[at]
                 share = np.add.reduceat(best, first, dtype=float)
                 each = np.repeat(1 / share, np.diff(np.r_[first, len(at)]), axis=0)
-                np.add.at(g_image, inner, best * each * (gn @ w[5].T)[at])
+                order = np.argsort(inner, kind="stable")
+                those = np.flatnonzero(np.r_[True, inner[order][1:] != inner[order][:-1]])
+                g_image = np.add.reduceat((best * each * (gn @ w[5].T)[at])[order], those)
             g2 = g_image * (image > 0)
             g1 = (g2 @ w[2].T) * (one > 0)
             found = [h[used].T @ g1, g1.sum(0), one.T @ g2, g2.sum(0), h[nodes].T @ gs, pool.T @ gn, *top, *found]
-            np.add.at(pull, used, g1 @ w[0].T)
+            pull[used] += g1 @ w[0].T
             pull[nodes] += gs @ w[4].T
         return total, found
 
-    def samples(self, graph: Graph) -> DataFrame:
+    def drawn(self, graph: Graph) -> DataFrame:
         c = self.config
-        drawn = neighbour_samples(graph.edges, graph.nodes.select("node_id"), c.samples, c.depth, c.seed, c.uniform_samples, c.self_loops)
-        return drawn.select("layer", "node_id", "neighbor").distinct()
+        return drawn_lists(graph.edges, c.samples, c.depth, c.seed, c.uniform_samples, c.self_loops)
+
+    def samples(self, graph: Graph) -> DataFrame:
+        return self.drawn(graph).select("layer", "node_id", F.explode("drawn").alias("neighbor"))
 
     def train(self, graph: Graph, start: DataFrame, target: DataFrame) -> GraphSage:
         c = self.config
@@ -349,8 +357,20 @@ class GraphSage:
                     batch = np.sort(order[lo : lo + c.batch_size])
                     yield self.gradients(_around(h, lines, wanted, batch), len(batch))
         else:
-            n = graph.nodes.count()
-            blocks = cut(self.blocks(graph, start, target, -(-n // c.block_nodes)), "sage-blocks")
+            n, spark = graph.nodes.count(), graph.nodes.sparkSession
+            count, vectors = -(-n // c.block_nodes), [start] if start is target else [start, target]
+            held = None
+            if 8 * n * c.embed_dim * len(vectors) <= SAMPLED_LIMIT:
+                # Vectors of all nodes are sent once, and blocks only say where they stand.
+                found = [matrix(x) for x in vectors]
+                ids = spark.sparkContext.broadcast(found[0][0])
+                held = spark.sparkContext.broadcast([x for _, x in found])
+                del found
+                tasks = min(count, width(spark), max(spark.sparkContext.defaultParallelism, n * c.samples * c.depth >> 22))
+                blocks = cut(self.places(graph, ids, count).coalesce(tasks), "sage-blocks")
+                few = tasks <= 32
+            else:
+                blocks, few = cut(self.blocks(graph, start, target, count), "sage-blocks"), False
             batches = -(-n // c.batch_size)
             epoch = iter(range(c.refine_epochs))
 
@@ -360,10 +380,10 @@ class GraphSage:
                     model = GraphSage(c, [w.copy() for w in self.weights], [])
 
                     def of(rows: pa.RecordBatch, model=model) -> tuple[float, list[np.ndarray]]:
-                        found = [model.gradients(_unpacked(r, c), -(-n // batches)) for r in rows.to_pylist()]
+                        found = [model.gradients(_unpacked(r, c) if held is None else _looked_up(r, held.value), -(-n // batches)) for r in rows.to_pylist()]
                         return sum(x for x, _ in found), [reduce(np.add, g) for g in zip(*(g for _, g in found), strict=True)]
 
-                    yield summed(blocks.filter(F.pmod(F.xxhash64("block", F.lit(turn)), F.lit(batches)) == batch), of)
+                    yield summed(blocks.filter(F.pmod(F.xxhash64("block", F.lit(turn)), F.lit(batches)) == batch), of, few)
 
         adam, stop = Adam(self.weights, c.learning_rate), Stopper(c.early_stop)
         for _ in range(c.refine_epochs):
@@ -394,8 +414,55 @@ class GraphSage:
         every = reduce(DataFrame.union, rows).repartition(min(count, width(graph.nodes.sparkSession)), "block").sortWithinPartitions("block", "layer", "node_id", "other")
         return every.groupBy("block").applyInArrow(_packed, "block int, ids binary, vectors binary, goals binary, nodes array<binary>, lines array<binary>")
 
+    def places(self, graph: Graph, ids, count: int) -> DataFrame:
+        """The same blocks with the places of nodes among all (broadcast) ids in place of vectors and goals."""
+        drawn, depth = self.samples(graph), self.config.depth
+        drawn = drawn if depth == 1 else cut(drawn, "sage-samples")
+        block = F.pmod(F.xxhash64("node_id", F.lit(7)), F.lit(count)).cast("int").alias("block")
+        sets = graph.nodes.select(block, "node_id")
+        rows = [sets.select("block", F.lit(-1).alias("layer"), "node_id", F.lit(None).cast("long").alias("other"))]
+        for k in reversed(range(depth)):
+            own = drawn.filter(F.col("layer") == k).select("node_id", F.col("neighbor").alias("other"))
+            lines = own.select(block, "node_id", "other") if k + 1 == depth else own.join(sets, "node_id").select("block", "node_id", "other")
+            rows.append(lines.select("block", F.lit(k).alias("layer"), "node_id", "other"))
+            sets = sets.union(lines.select("block", F.col("other"))).distinct() if k else sets
+        every = reduce(DataFrame.union, rows).repartition(min(count, width(graph.nodes.sparkSession)), "block")
+        return every.groupBy("block").applyInArrow(lambda rows: _placed(rows, ids.value, depth), "block int, ids binary, nodes array<binary>, lines array<binary>")
+
+    def _applied_here(self, graph: Graph, start: DataFrame) -> DataFrame:
+        """As `apply`, in tasks that hold a layer's images of all nodes; each makes its own nodes' vectors from the neighbours drawn."""
+        c, spark = self.config, graph.nodes.sparkSession
+        shown = "node_id long, vec array<double>"
+        drawn = cut(self.drawn(graph), "sage-samples")
+        h = start
+        for k in range(c.depth):
+            w = self.layer(k)
+            ids, image = matrix(map_rows(h, lambda x, w=w: GraphSage.images(x, w)[1]))
+            held = spark.sparkContext.broadcast((ids, image))
+            del ids, image
+
+            def run(batches: Iterator[pa.RecordBatch], w=w, held=held) -> Iterator[pa.RecordBatch]:
+                ids, image = held.value
+                for batch in batches:
+                    if len(batch):
+                        own, to = rows_of(batch), batch.column("drawn")
+                        counts = pc.list_value_length(to).fill_null(0).to_numpy().astype(np.int64)
+                        pool = np.zeros((len(batch), image.shape[1]))
+                        if counts.any():
+                            some = np.flatnonzero(counts)
+                            pool[some] = np.maximum.reduceat(image[np.searchsorted(ids, to.flatten().to_numpy())], (np.cumsum(counts) - counts)[some])
+                        yield pa.RecordBatch.from_arrays([batch.column("node_id"), lists(GraphSage.joined(own, pool, w)[1])], names=["node_id", "vec"])
+
+            rows = h.join(drawn.filter(F.col("layer") == k).drop("layer"), "node_id", "left").select("node_id", "vec", "drawn")
+            h = rows.mapInArrow(run, shown).select("node_id", unit(F.col("vec")).alias("vec"))
+            h = cut(h, "sage-layer") if k + 1 < c.depth else h
+        return h
+
     def apply(self, graph: Graph, start: DataFrame) -> DataFrame:
         c, d = self.config, self.config.embed_dim
+        n = graph.nodes.count()
+        if 8 * n * d <= SAMPLED_LIMIT:
+            return self._applied_here(graph, cut(start, "sage-start"))
         drawn = cut(self.samples(graph), "sage-samples")
         zero, h = F.array_repeat(F.lit(0.0), d), start
         for k in range(c.depth):
@@ -440,6 +507,33 @@ def _packed(rows: pa.Table) -> pa.Table:
     return pa.table({name: pa.array([value], kind) for name, kind, value in kinds})
 
 
+def _placed(rows: pa.Table, ids: np.ndarray, depth: int) -> pa.Table:
+    """One block's rows (layer, node_id, other), own nodes as layer -1, as one row of packed places."""
+    layer = rows.column("layer").to_numpy()
+    node, other = (np.searchsorted(ids, rows.column(c).fill_null(ids[0]).to_numpy()) for c in ("node_id", "other"))
+    nodes, layers = np.sort(node[layer == -1]), []
+    for k in reversed(range(depth)):
+        own = layer == k
+        at, to = node[own], other[own]
+        order = np.lexsort((to, at))
+        layers.append((nodes, np.searchsorted(nodes, at[order]), to[order]))
+        nodes = np.union1d(nodes, to)
+    packed = lambda x: x.astype(np.int32).tobytes()
+    all_nodes = [packed(np.searchsorted(nodes, own)) for own, _, _ in reversed(layers)]
+    all_lines = [packed(np.stack([at, np.searchsorted(nodes, to)])) for _, at, to in reversed(layers)]
+    kinds = [("block", pa.int32(), rows.column("block")[0].as_py()), ("ids", pa.binary(), packed(nodes)), ("nodes", pa.list_(pa.binary()), all_nodes), ("lines", pa.list_(pa.binary()), all_lines)]
+    return pa.table({name: pa.array([value], kind) for name, kind, value in kinds})
+
+
+def _looked_up(row: dict, vectors: list[np.ndarray]) -> Block:
+    """A block of packed places with the vectors and goals (the last of `vectors`) that stand there."""
+    ids, layers = np.frombuffer(row["ids"], np.int32), []
+    for nodes, lines in zip(row["nodes"], row["lines"], strict=True):
+        at, to = np.frombuffer(lines, np.int32).reshape(2, -1)
+        layers.append((np.frombuffer(nodes, np.int32), at, to))
+    return Block(vectors[0][ids], layers, vectors[-1][ids[layers[-1][0]]])
+
+
 def _unpacked(row: dict, config: Config) -> Block:
     layers = []
     for nodes, lines in zip(row["nodes"], row["lines"], strict=True):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import Graph, from_pairs
+from ..operators.graph import Graph, from_edges, from_pairs
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +33,14 @@ def copurchase(spark: SparkSession, folder: str) -> Graph:
     return from_pairs(copurchase_pairs(spark, folder))
 
 
+def copurchase_kept(spark: SparkSession, folder: str) -> Graph:
+    """The same as work tables, by one shuffle of the pairs, in both directions."""
+    baskets = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("p"))
+    pairs = F.flatten(F.transform("p", lambda x: F.transform(F.filter("p", lambda y: y != x), lambda y: F.struct(x.alias("src"), y.alias("dst")))))
+    both = baskets.select(F.explode(pairs).alias("e")).select("e.src", "e.dst")
+    return from_edges(both.repartition("src").distinct().withColumn("wgt", F.lit(1.0)))
+
+
 def user_event_type(spark: SparkSession, folder: str) -> Graph:
     events = table(spark, folder, "events")
     kinds = events.select("event_type").distinct().withColumn("kind", F.dense_rank().over(Window.orderBy("event_type")))  # a few kinds

@@ -443,6 +443,66 @@ def test_gcn_training_moves_no_vectors(spark, monkeypatch):
         assert all(np.allclose(a, b) for a, b in zip(near.weights, other.weights, strict=True))
 
 
+@pytest.mark.parametrize("layers", [1, 2])
+def test_drawn_lists_are_the_samples(spark, layers):
+    """The same draws as by joins, where a node's edges come in several batches."""
+    g = make(spark, [(0, i, 0.1 * i) for i in range(1, 30)] + [(i, (i * 7) % 30, 1.0 / i) for i in range(1, 30)] + [(3, 3, 2.0)], range(40))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+        for even, loops in ((False, True), (True, False)):
+            rows = walks.drawn_lists(g.edges, 9, layers, 5, even, loops).collect()
+            wanted = walks.neighbour_samples(g.edges, g.nodes.select("node_id"), 9, layers, 5, even, loops).select("layer", "node_id", "neighbor").distinct()
+            assert sorted((r.layer, r.node_id, x) for r in rows for x in r.drawn) == sorted(map(tuple, wanted.collect()))
+            assert len({(r.layer, r.node_id) for r in rows}) == len(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+@pytest.mark.parametrize("depth", [1, 2])
+def test_sampling_model_moves_no_vectors(spark, monkeypatch, depth):
+    """Training and application by places among all nodes are those in one process and those by joins, with nodes without edges."""
+    from dataclasses import replace
+
+    g = make(spark, [(i, (i + k) % 12, float(k)) for i in range(12) for k in (1, 5)] + [(3, 3)], range(14))
+    start, target = (linear.random_rows(g.nodes, 4, seed).transform(vectors.l2_normalise).cache() for seed in (1, 2))
+    c = replace(SMALL, refine="graphsage", refine_epochs=3, learning_rate=0.01, depth=depth)
+    far, calls, joins, packs = replace(c, train_nodes=5, block_nodes=4), [], refine.pooled, refine.GraphSage.blocks
+    monkeypatch.setattr(refine, "pooled", lambda *a: calls.append(1) or joins(*a))
+    monkeypatch.setattr(refine.GraphSage, "blocks", lambda *a: calls.append(1) or packs(*a))
+    for goal in (start, target):
+        monkeypatch.setattr(refine, "SAMPLED_LIMIT", 1 << 20)
+        near, sent = refine.refine_model(c).train(g, start, goal), refine.refine_model(far).train(g, start, goal)
+        held = sorted(sent.apply(g, start).collect())
+        assert not calls
+        monkeypatch.setattr(refine, "SAMPLED_LIMIT", 0)
+        apart = refine.refine_model(far).train(g, start, goal)
+        joined = sorted(sent.apply(g, start).collect())
+        assert len(calls) == 1 + depth and len(held) == 14
+        assert all(a.node_id == b.node_id and np.allclose(a.vec, b.vec) for a, b in zip(held, joined, strict=True))
+        for other in (sent, apart):
+            assert np.allclose(near.losses, other.losses)
+            assert all(np.allclose(a, b) for a, b in zip(near.weights, other.weights, strict=True))
+        calls.clear()
+
+
+def test_kept_graph_is_the_graph(spark):
+    """Edges made once and dealt by node are the same, and so are the pairs and the coarse graph made of them."""
+    from stratagraph.sources import tables
+
+    folder = "/root/testdata/sf0.001"
+    plain, kept = tables.copurchase(spark, folder), tables.copurchase_kept(spark, folder)
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    for part, columns in (("nodes", ("node_id", "node_wgt", "degree", "n_adj")), ("edges", ("src", "dst", "wgt"))):
+        assert rows(getattr(plain, part), *columns) == rows(getattr(kept, part), *columns)
+    pairs = matching.mutual_pairs(matching.best_of_runs(graph.normalised_weights(kept)))
+    assert rows(pairs, "a", "b") == rows(matching.mutual_pairs(graph.normalised_weights(plain)), "a", "b")
+    none = kept.nodes.select("node_id", F.col("node_id").alias("group_id")).limit(0)
+    cmap = coarsen.coarse_map(kept.nodes, none, pairs)
+    near, far = (coarsen.coarse_graph(g, cmap) for g in (plain, kept))
+    assert rows(near.edges, "src", "dst", "wgt") == rows(far.edges, "src", "dst", "wgt") and rows(near.nodes, *near.nodes.columns) == rows(far.nodes, *near.nodes.columns)
+
+
 def test_layers_applied_as_trained(spark):
     """What the DataFrames give is what the gradients' forward pass gives."""
     from dataclasses import replace
