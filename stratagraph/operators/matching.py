@@ -182,23 +182,33 @@ def granted_pairs(edges: DataFrame, turn: int) -> DataFrame:
     """(a, b): nodes fall on two sides by a hash of node and turn; one side asks its heaviest neighbour on the other, which grants its
     heaviest request. No node can be in two pairs, and hubs that all would choose hold nobody up."""
     side = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(turn)), F.lit(2))
-    across = edges.filter((side("src") == 0) & (side("dst") == 1))
+    across = best_of_runs(edges.filter((side("src") == 0) & (side("dst") == 1)))
     asked = across.groupBy("src").agg(F.max(F.struct("nw", (-F.col("dst")).alias("minus"))).alias("e")).select("src", (-F.col("e.minus")).alias("dst"), F.col("e.nw").alias("nw"))
     granted = asked.groupBy("dst").agg(F.max(F.struct("nw", (-F.col("src")).alias("minus"))).alias("e")).select((-F.col("e.minus")).alias("src"), "dst")
     return granted.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
 
 
+def _open(graph: Graph, free: DataFrame, most: float) -> DataFrame:
+    """Edges (src, dst, nw) that may be matched."""
+    if not graph.kept:
+        return _among(_eligible(normalised_weights(graph), graph.nodes, most), free)
+    own = sent(cut(graph.nodes.join(free, "node_id", "left_semi").select("node_id", "degree", "node_wgt"), "heavy-nodes"))
+    ends = [own.select(F.col("node_id").alias(c), F.col("degree").alias("d" + c), F.col("node_wgt").alias("w" + c)) for c in ("src", "dst")]
+    both = graph.edges.filter("src <> dst").join(ends[0], "src").join(ends[1], "dst").filter(F.col("wsrc") + F.col("wdst") <= most)
+    return both.select("src", "dst", normal_weight("wgt", "dsrc", "ddst").alias("nw"))
+
+
 def heavy_rounds(graph: Graph, free: DataFrame, most: float, tail: int = 1_000_000) -> DataFrame:
     """(a, b): mutual heaviest pairs and granted requests in turn, among the nodes still free.
 
     A round is one or two aggregations of the edges left; the heaviest of all is mutual, so every other round has a pair. Once
     `tail` edges or fewer are left (24 bytes each in that task), the greedy order finishes them in one task."""
-    edges = cut(_among(_eligible(normalised_weights(graph), graph.nodes, most), free), "heavy-edges")
+    edges = cut(_open(graph, free, most), "heavy-edges")
     found, turn = None, 0
     while (left := edges.count()) > tail:
-        pairs = cut(granted_pairs(edges, turn) if turn % 2 else mutual_pairs(edges), "heavy-pairs")
+        pairs = cut(granted_pairs(edges, turn) if turn % 2 else mutual_pairs(best_of_runs(edges)), "heavy-pairs")
         found = pairs if found is None else found.union(pairs)
-        gone = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        gone = sent(cut(pairs.select(F.explode(F.array("a", "b")).alias("node")), "heavy-gone"))
         edges = cut(edges.join(gone, edges.src == gone.node, "left_anti").join(gone, edges.dst == gone.node, "left_anti"), "heavy-edges")
         turn += 1
     if left:

@@ -503,6 +503,36 @@ def test_kept_graph_is_the_graph(spark):
     assert rows(near.edges, "src", "dst", "wgt") == rows(far.edges, "src", "dst", "wgt") and rows(near.nodes, *near.nodes.columns) == rows(far.nodes, *near.nodes.columns)
 
 
+def test_netmf_moves_no_vectors(spark, monkeypatch):
+    """Products by packed edges are those by joins, and a product in single precision is near that in double; an edge list is cut over batches."""
+    from dataclasses import replace
+
+    g = make(spark, [(i, (i * k + 1) % 17, 1.0 + i / k) for i in range(17) for k in (2, 3, 5)], range(17))
+    c = replace(SMALL, base="netmf", rank=6, embed_dim=3)
+    joins = linear.propagate
+
+    def product():
+        v = np.array([r.vec for r in sorted(base.netmf(g, c).collect())])
+        return v @ v.T
+
+    monkeypatch.setattr(linear, "propagate", lambda *a: pytest.fail("vectors are joined"))
+    sent = product()
+    monkeypatch.setattr(base, "DOUBLE_NODES", 0)
+    assert np.allclose(sent, product(), atol=1e-4)
+    monkeypatch.setattr(base, "DOUBLE_NODES", 20_000)
+    monkeypatch.setattr(linear, "propagate", joins)
+    monkeypatch.setattr(base, "BASIS_LIMIT", 0)
+    assert np.allclose(sent, product(), atol=1e-6)
+
+
+def test_rounds_of_a_kept_graph(spark):
+    """Rounds give the same pairs where a node's edges stand together and nodes are sent."""
+    g = make(spark, [(i, (i * k + 1) % 40, 1.0 + i % k) for i in range(40) for k in (2, 3, 5, 7)], range(42))
+    free = g.nodes.filter("node_id % 9 <> 4").select("node_id")
+    found = [sorted(map(tuple, matching.heavy_rounds(x, free, 2.0, tail=20).collect())) for x in (g, graph.kept(g))]
+    assert found[0] == found[1] and len(found[0]) > 5
+
+
 def test_layers_applied_as_trained(spark):
     """What the DataFrames give is what the gradients' forward pass gives."""
     from dataclasses import replace
