@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stratagraph.llm import bpe, decontaminate, jaccard, langid, suffix_dedup
-from stratagraph.llm.common import cut, table
+from stratagraph.llm.common import cut, passing, table
 from stratagraph.llm.queries import tokenizer_path
 
 
@@ -47,5 +47,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     pass through all stages but the last."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with passing() as keep:
+            docs = keep(cut(stage(spark, docs, sf_dir), f"pipeline-{name}"))
     return STAGES[-1][1](spark, docs, sf_dir)

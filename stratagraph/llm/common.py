@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut, shared_dir, width  # noqa: F401
+from ..storage import cut, passing, shared_dir, width  # noqa: F401
 
 #: Bytes of text that one vectorised step takes at once (a longer text is a step of its own).
 CHUNK = 1 << 20

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import stars
-from .common import cut, grouped, large_binary, spans_to_list, text_steps, texts, width
+from .common import cut, grouped, large_binary, passing, spans_to_list, text_steps, texts, width
 from .textnum import mix, shingles, word_hashes, word_spans
 
 U64 = np.uint64
@@ -288,35 +288,36 @@ def near_classes(docs: DataFrame, p: Forest = Forest()) -> tuple[DataFrame, Data
     (class, n, least, links, first): its documents, its least one, the documents of other classes that each is linked with, and
     the least document of all that links join. `least` and `first` are (none, doc_id, hash) with hash that of the text."""
     spark = docs.sparkSession
-    own = texts(docs).withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = cut(own.mapInArrow(_classes(p, False), "doc_id long, hash long, class binary, size long, signature binary"), "jaccard-rows")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("least")
-    classes = cut(rows.groupBy("class").agg(F.count("*").alias("n"), least, F.first("size").alias("size"), F.first("signature").alias("signature")), "jaccard-classes")
-    buckets = forest_buckets(classes, p)
-    # Of buckets of the same members the first tree's is kept: a pair's first bucket is never another.
-    counted = buckets.join(classes.select("class", "size"), "class").groupBy("label").agg(F.min("tree").alias("tree"), F.count("*").alias("met"), F.sum("size").alias("shingles"), *(F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"x{k}") for k in (1, 2)))
-    kept = counted.filter("met > 1").groupBy("met", "x1", "x2").agg(F.min(F.struct("tree", "label", "shingles")).alias("b"))
-    kept = kept.select("b.label", F.greatest(F.ceil(F.col("met") / p.block), F.ceil(F.col("b.shingles") / p.block_shingles)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("class", "label"), F.col("blocks")).cast("int")
-    members = buckets.join(kept, "label").withColumn("block", block).groupBy("class").agg(F.collect_list(F.struct("label", "tree", "blocks", "block")).alias("places"))
-    every = buckets.groupBy("class").agg(F.collect_list(F.struct("tree", "label")).alias("found")).mapInArrow(_by_tree(p), "class binary, buckets binary")
-    keyed = members.join(every, "class").join(classes.select("class", "n", "least"), "class").select(F.col("class").alias("expected"), "n", "places", "buckets", F.col("least.doc_id").alias("doc_id"), F.col("least.hash").alias("hash"))
-    # The sets of those that meet, from the text of one document of each class.
-    with_text = keyed.join(own.withColumnRenamed("doc_id", "id").withColumnRenamed("hash", "text_hash"), (F.col("hash") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("expected", "n", "places", "buckets", "text")
-    shape = "expected binary, n long, places array<struct<label: bigint, tree: int, blocks: int, block: int>>, buckets binary, class binary, size long, set binary"
-    sets = with_text.mapInArrow(_classes(p, True), shape).filter(F.col("class") == F.col("expected")).dropDuplicates(["class"])
-    dealt = sets.select("class", "n", "buckets", "set", F.explode("places").alias("b")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b.blocks") - 1)))
-    dealt = dealt.select("b.label", "b.tree", F.least("b.block", "other").alias("i"), F.greatest("b.block", "other").alias("j"), F.col("b.block").alias("block"), "class", "n", "buckets", "set")
-    keys = ["label", "i", "j"]
-    verified = cut(dealt.repartition(width(spark), *keys).sortWithinPartitions(*keys, "class").mapInArrow(_verify(p), "class binary, links long, head binary"), "jaccard-links")
-    joined = stars(verified.select(F.col("class").alias("a"), F.col("head").alias("b")), "jaccard-groups").withColumnsRenamed({"node": "class"})
-    links = verified.groupBy("class").agg(F.sum("links").alias("links"))
-    plain = classes.select("class", "n", "least")
-    grouped_ = plain.join(joined, "class").join(links, "class")
-    first = grouped_.groupBy("root").agg(F.min("least").alias("first"))
-    linked = grouped_.join(first, "root").select("class", "n", "least", "links", "first")
-    copies = plain.filter("n > 1").join(joined, "class", "left_anti").select("class", "n", "least", F.lit(0).cast("long").alias("links"), F.col("least").alias("first"))
-    return rows.select("doc_id", "hash", "class"), cut(linked.unionByName(copies), "jaccard-result")
+    with passing() as keep:
+        own = texts(docs).withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+        rows = keep(cut(own.mapInArrow(_classes(p, False), "doc_id long, hash long, class binary, size long, signature binary"), "jaccard-rows"))
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("least")
+        classes = cut(rows.groupBy("class").agg(F.count("*").alias("n"), least, F.first("size").alias("size"), F.first("signature").alias("signature")), "jaccard-classes")
+        buckets = forest_buckets(classes, p)
+        # Of buckets of the same members the first tree's is kept: a pair's first bucket is never another.
+        counted = buckets.join(classes.select("class", "size"), "class").groupBy("label").agg(F.min("tree").alias("tree"), F.count("*").alias("met"), F.sum("size").alias("shingles"), *(F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"x{k}") for k in (1, 2)))
+        kept = counted.filter("met > 1").groupBy("met", "x1", "x2").agg(F.min(F.struct("tree", "label", "shingles")).alias("b"))
+        kept = kept.select("b.label", F.greatest(F.ceil(F.col("met") / p.block), F.ceil(F.col("b.shingles") / p.block_shingles)).cast("int").alias("blocks"))
+        block = F.pmod(F.xxhash64("class", "label"), F.col("blocks")).cast("int")
+        members = buckets.join(kept, "label").withColumn("block", block).groupBy("class").agg(F.collect_list(F.struct("label", "tree", "blocks", "block")).alias("places"))
+        every = buckets.groupBy("class").agg(F.collect_list(F.struct("tree", "label")).alias("found")).mapInArrow(_by_tree(p), "class binary, buckets binary")
+        keyed = members.join(every, "class").join(classes.select("class", "n", "least"), "class").select(F.col("class").alias("expected"), "n", "places", "buckets", F.col("least.doc_id").alias("doc_id"), F.col("least.hash").alias("hash"))
+        # The sets of those that meet, from the text of one document of each class.
+        with_text = keyed.join(own.withColumnRenamed("doc_id", "id").withColumnRenamed("hash", "text_hash"), (F.col("hash") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("expected", "n", "places", "buckets", "text")
+        shape = "expected binary, n long, places array<struct<label: bigint, tree: int, blocks: int, block: int>>, buckets binary, class binary, size long, set binary"
+        sets = with_text.mapInArrow(_classes(p, True), shape).filter(F.col("class") == F.col("expected")).dropDuplicates(["class"])
+        dealt = sets.select("class", "n", "buckets", "set", F.explode("places").alias("b")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b.blocks") - 1)))
+        dealt = dealt.select("b.label", "b.tree", F.least("b.block", "other").alias("i"), F.greatest("b.block", "other").alias("j"), F.col("b.block").alias("block"), "class", "n", "buckets", "set")
+        keys = ["label", "i", "j"]
+        verified = cut(dealt.repartition(width(spark), *keys).sortWithinPartitions(*keys, "class").mapInArrow(_verify(p), "class binary, links long, head binary"), "jaccard-links")
+        joined = stars(verified.select(F.col("class").alias("a"), F.col("head").alias("b")), "jaccard-groups").withColumnsRenamed({"node": "class"})
+        links = verified.groupBy("class").agg(F.sum("links").alias("links"))
+        plain = classes.select("class", "n", "least")
+        grouped_ = plain.join(joined, "class").join(links, "class")
+        first = grouped_.groupBy("root").agg(F.min("least").alias("first"))
+        linked = grouped_.join(first, "root").select("class", "n", "least", "links", "first")
+        copies = plain.filter("n > 1").join(joined, "class", "left_anti").select("class", "n", "least", F.lit(0).cast("long").alias("links"), F.col("least").alias("first"))
+        return rows.select("doc_id", "hash", "class"), keep(cut(linked.unionByName(copies), "jaccard-result"))
 
 
 def near_duplicates(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
@@ -332,14 +333,17 @@ def near_duplicates(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
 
 def keep_one(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
     """The rows of `docs`, all columns, less all but one of each group of near duplicates: its least document stays."""
-    rows, classes = near_classes(docs, p)
     names = docs.columns
     hashed = docs.withColumn("stratagraph_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("stratagraph_id", F.col("doc_id").cast("long"))
-    # What goes: the least document of a class stays unless another class's is smaller; then of equal rows one stays.
-    found = rows.join(classes.select("class", F.col("first.doc_id").alias("keep_id"), F.col("first.hash").alias("keep_hash")), "class")
-    gone = found.filter(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash")))).select("doc_id", "hash").distinct()
+    with passing() as keep:
+        rows, classes = near_classes(docs, p)
+        # What goes: the least document of a class stays unless another class's is smaller; then of equal rows one stays.
+        found = rows.join(classes.select("class", F.col("first.doc_id").alias("keep_id"), F.col("first.hash").alias("keep_hash")), "class")
+        others = found.filter(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash"))))
+        gone = keep(cut(others.select("doc_id", "hash").distinct(), "jaccard-gone"))
+        repeated = rows.groupBy("doc_id", "hash").count().filter("count > 1").limit(1).count()
     on = hashed["stratagraph_id"].eqNullSafe(gone["doc_id"]) & (hashed["stratagraph_hash"] == gone["hash"])
     kept = hashed.join(gone, on, "left_anti")
-    if rows.groupBy("doc_id", "hash").count().filter("count > 1").limit(1).count():  # wholly repeated rows
+    if repeated:  # wholly repeated rows
         kept = kept.dropDuplicates(["stratagraph_hash", "stratagraph_id"])
     return kept.select(*[F.col(f"`{c}`") for c in names])

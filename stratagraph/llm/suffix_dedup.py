@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, grouped, large_binary, text_steps, texts, width
+from .common import cut, grouped, large_binary, passing, text_steps, texts, width
 from .textnum import mix, powers, span_hashes
 
 U64 = np.uint64
@@ -503,11 +503,14 @@ def _inward(text: bytes, a: int, b: int) -> tuple[int, int]:
 
 
 def removals(docs: DataFrame, p: Repeats = Repeats(), whole_characters: bool = False) -> DataFrame:
-    """(key, n_removed, n_spans, kept_sha256, kept) for each different text that loses anything."""
-    different, starts = find_repeats(docs, p)
-    by_text = starts.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("places"))
-    touched = different.join(by_text, "key", "left").filter("n > 1 or places is not null")
-    return touched.select("key", "text", "n", "places").mapInArrow(_remove(p, whole_characters), "key binary, n_removed long, n_spans long, kept_sha256 string, kept string")
+    """(key, n_removed, n_spans, kept_sha256, kept) for each different text that loses anything; `kept` is null unless whole
+    characters are asked for. It is written, so that the tables it comes from are gone before it is used."""
+    with passing() as keep:
+        different, starts = find_repeats(docs, p)
+        by_text = starts.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("places"))
+        touched = different.join(by_text, "key", "left").filter("n > 1 or places is not null")
+        lost = touched.select("key", "text", "n", "places").mapInArrow(_remove(p, whole_characters), "key binary, n_removed long, n_spans long, kept_sha256 string, kept string")
+        return keep(cut(lost, "repeats-lost"))
 
 
 def remove_repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:

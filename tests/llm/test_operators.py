@@ -4,13 +4,16 @@ further columns of clashing names."""
 import collections
 import hashlib
 import math
+import os
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
+from stratagraph import storage
 from stratagraph.llm import ann, bpe, decontaminate, jaccard, langid, ppm, quality, queries, sharding, suffix_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row long, key string, hash long, label int, part int"
@@ -786,6 +789,58 @@ def test_few_neighbours(spark):
     assert ann.nearest(frame.limit(0)).count() == 0
 
 
+# Work tables
+
+
+def work_tables(spark):
+    top = f"{storage.shared_dir(spark)}/stratagraph"
+    return set(os.listdir(top)) if os.path.isdir(top) else set()
+
+
+def shuffle_files(spark):
+    every = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(every.size()) if (name := every.apply(k).getName()).startswith("shuffle")}
+
+
+def test_work_tables_go_when_done_with(docs):
+    spark = docs.sparkSession
+    for make, left in (
+        (jaccard.keep_one, ["jaccard-gone"]), (jaccard.near_duplicates, ["jaccard-result", "jaccard-rows"]),
+        (suffix_dedup.strip_repeats, ["repeats-lost"]), (suffix_dedup.remove_repeats, ["repeats-lost"]),
+    ):
+        before = work_tables(spark)
+        out = make(docs)
+        assert sorted(re.sub("-[0-9a-f]{32}$", "", x) for x in work_tables(spark) - before) == left
+        assert out.count() > 0
+
+
+def test_tables_kept_within_others(spark):
+    before = work_tables(spark)
+    with storage.passing() as keep:
+        with storage.passing() as inner:
+            kept, passed = inner(storage.cut(spark.range(3), "kept")), inner(storage.cut(spark.range(4), "passed"))
+            storage.cut(spark.range(5), "gone")
+        assert {x.split("-")[0] for x in work_tables(spark) - before} == {"kept", "passed"} and passed.count() == 4
+        keep(kept)
+    assert {x.split("-")[0] for x in work_tables(spark) - before} == {"kept"} and kept.count() == 3
+    with pytest.raises(ZeroDivisionError), storage.passing() as keep:
+        storage.cut(spark.range(3), "failed")
+        1 / 0
+    assert not [x for x in work_tables(spark) if x.startswith("failed")]
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffle_files(spark), spark.conf.get(cleanup, "false")
+    numbers = spark.range(1000).selectExpr("id", "id % 7 AS k")
+    out = storage.cut(numbers.groupBy("k").count().join(numbers.hint("merge"), "k").repartition(3), "shuffled")
+    until = time.time() + 5
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left and out.count() == 1000
+    assert spark.conf.get(cleanup, "false") == setting
+
+
 # Pipeline
 
 
