@@ -353,6 +353,26 @@ def test_unknown_names(spark):
         refine.refine_model(Config(refine="other"))
 
 
+@pytest.mark.parametrize("joins", [False, True])
+def test_the_window_matrix_is_squared_without_its_factorisation(spark, monkeypatch, joins):
+    """Block by block, by joins, from the matrix itself and from an embedding of all parts: with nodes alike, and one without edges."""
+    from dataclasses import replace
+
+    g = make(spark, [(i, (i + k) % 12, float(k)) for i in range(12) for k in (1, 5)] + [(0, 20), (0, 21), (3, 3)], [*range(12), 20, 21, 30])
+    ids, own = linear.matrix(base.netmf_small(g, replace(SMALL, embed_dim=15)))
+    whole = np.zeros((15, 15))
+    for a, b, w in triples(base.window_matrix(g, SMALL.window)):
+        whole[np.searchsorted(ids, a), np.searchsorted(ids, b)] = w
+    monkeypatch.setattr(base, "SQUARE_BYTES", 0)
+    monkeypatch.setattr(base, "leading_here", None)
+    if joins:
+        monkeypatch.setattr(base, "BROADCAST_LIMIT", 0)
+    found = triples(base.window_squared(g, SMALL))
+    assert [x[:2] for x in found] == [(a, b) for a in ids for b in ids]
+    square = np.array([x[2] for x in found]).reshape(15, 15)
+    assert np.allclose(square, whole @ whole) and np.allclose(square, (own @ own.T) @ (own @ own.T))
+
+
 @pytest.mark.parametrize("changes", [{"base": "netmf_small"}, {"refine": "gcn", "base": "netmf_small"}, {"refine": "none", "base": "netmf_small", "only_coarse": True}, {"base": "netmf_small", "double_base": True}])
 def test_multilevel(spark, changes):
     from dataclasses import replace
