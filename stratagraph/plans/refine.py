@@ -14,12 +14,14 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.columns import unit
-from ..operators.graph import Graph
+from ..operators.graph import Graph, together
 from ..operators.vectors import gcn_operator, pooled, project, propagate
 from ..operators.walks import drawn_lists
 from ..storage import cut, width
@@ -31,6 +33,10 @@ from .linear import lists, map_rows, matrix, rows_of
 SENT_LIMIT = 128 << 20
 #: The same of the sampling model, whose tasks hold no products beside them.
 SAMPLED_LIMIT = 256 << 20
+#: Edges that a group of nodes of the convolution model's training has, about.
+GROUP_ENTRIES = 6_000_000
+#: Edges up to which its first product is made by a join.
+JOINED_ENTRIES = 1 << 20
 
 
 def _unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +106,194 @@ def summed(rows: DataFrame, f: Callable[[pa.RecordBatch], tuple[float, list[np.n
     return sum(r.total for r in found), [reduce(np.add, x) for x in zip(*(unpack(r.sums, r.shapes) for r in found), strict=True)]
 
 
+_ARRAY = {np.float64: "array<double>", np.float32: "array<float>"}
+
+
+def _kind(n: int, config: Config) -> type | None:
+    """The precision in which vectors of all nodes may be held by every task, if any; sums over nodes are in double precision."""
+    size = n * config.embed_dim
+    return np.float64 if 16 * size <= SENT_LIMIT else np.float32 if 6 * size <= SENT_LIMIT else None
+
+
+def _parts(x: np.ndarray) -> Iterator[np.ndarray]:
+    return (x[lo : lo + (1 << 16)] for lo in range(0, len(x), 1 << 16))
+
+
+def _found(vectors: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(node ids, their vectors), batch by batch."""
+    for b in vectors.select("node_id", "vec").toArrow().to_batches():
+        if len(b):
+            yield b.column("node_id").to_numpy(), rows_of(b)
+
+
+def _in_kind(vectors: DataFrame, kind: type) -> np.ndarray:
+    """Vectors in the order of their nodes."""
+    return matrix(vectors.select("node_id", F.col("vec").cast(_ARRAY[kind]).alias("vec")))[1]
+
+
+@dataclass
+class _Scale:
+    """The nodes of a graph in their order, with the roots that its convolution operator has on both sides (0 for rows without weight):
+    the operator is turn (edges) turn, and self_weight / (1 + self_weight) of each node's own vector."""
+
+    ids: np.ndarray
+    turn: np.ndarray
+
+    @classmethod
+    def of(cls, graph: Graph, config: Config) -> _Scale:
+        table = graph.nodes.select("node_id", "degree").toArrow()
+        order = np.argsort(table["node_id"].to_numpy())
+        degree = table["degree"].to_numpy()[order] * (1 + config.self_weight)
+        return cls(table["node_id"].to_numpy()[order], np.where(degree > 0, 1 / np.sqrt(np.where(degree > 0, degree, 1.0)), 0.0))
+
+    def places(self, nodes: np.ndarray) -> np.ndarray:
+        if not hasattr(self, "_at"):
+            span = int(self.ids[-1] - self.ids[0]) + 1
+            self._at = None
+            if span <= 8 * len(self.ids):
+                self._at = np.zeros(span, np.int32)
+                self._at[self.ids - self.ids[0]] = np.arange(len(self.ids))
+        return np.searchsorted(self.ids, nodes).astype(np.int32) if self._at is None else self._at[nodes - self.ids[0]]
+
+
+def _run_sums(to: np.ndarray, starts: np.ndarray, wgt: np.ndarray | None, vectors: np.ndarray) -> np.ndarray:
+    """Sums of the vectors at `to` (times wgt) over runs that begin at `starts`."""
+    ends, out, lo = np.r_[starts, len(to)].astype(np.int64), np.empty((len(starts), vectors.shape[1])), 0
+    while lo < len(starts):  # so many runs that their entries are few, one at least
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + 8192, "right")) - 1)
+        span = slice(ends[lo], ends[hi])
+        part = vectors.take(to[span], axis=0)
+        out[lo:hi] = np.add.reduceat(part if wgt is None else part * wgt[span, None], ends[lo:hi] - ends[lo])
+        lo = hi
+    return out
+
+
+def _runs(key: np.ndarray, wgt: np.ndarray | None) -> list[np.ndarray]:
+    """[heads, numbers of their entries, entries, weights] of sorted keys head * 2^32 + entry, heads of few entries first."""
+    head = (key >> 32).astype(np.int32)
+    starts = np.flatnonzero(np.r_[True, head[1:] != head[:-1]]) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(key)])
+    order = np.argsort(sizes, kind="stable")
+    head, sizes = head[starts][order], sizes[order]
+    at = np.repeat(starts[order] - (np.cumsum(sizes) - sizes), sizes)
+    at += np.arange(len(key))
+    return [head, sizes.astype(np.int32), (key[at] & 0xFFFFFFFF).astype(np.int32), np.zeros(0) if wgt is None else wgt[at]]
+
+
+def _sized_sums(sizes: np.ndarray, to: np.ndarray, wgt: np.ndarray, vectors: np.ndarray, lo: int, hi: int, first: int) -> np.ndarray:
+    """Sums of the vectors at `to` (times wgt, if there are weights) over the runs lo to hi, in the order of their sizes; the entries of
+    the first begin at `first`."""
+    d, out = vectors.shape[1], np.zeros((hi - lo, vectors.shape[1]), vectors.dtype)
+    own, buffer = sizes[lo:hi], np.empty((1 << 16, d), vectors.dtype)
+    cuts = np.r_[np.flatnonzero(np.r_[True, own[1:] != own[:-1]]), len(own)].tolist() if len(own) else []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        k = int(own[a])
+        rows, wide = max(1, 8192 // k), min(k, 1 << 16)
+        for at in range(a, b, rows):
+            n = min(rows, b - at)
+            for x in range(0, k, wide):  # a part of a long run
+                span = slice(first + x, first + x + min(wide, k - x)) if k > wide else slice(first, first + n * k)
+                part = np.take(vectors, to[span], axis=0, out=buffer[: span.stop - span.start], mode="clip")
+                part = (part * wgt[span, None] if len(wgt) else part).reshape(n, -1, d)
+                out[at : at + n] += np.matmul(np.ones((1, part.shape[1]), part.dtype), part)[:, 0] if k >= 16 else np.einsum("rkd->rd", part)
+            first += n * k
+    return out
+
+
+@dataclass
+class _Group:
+    """The edges of some nodes (places among all): by node and by neighbour, in each those of weight 1 and, with weights, the others.
+    Nodes are numbered within the group."""
+
+    nodes: np.ndarray
+    near: list[list[np.ndarray]]
+    far: list[list[np.ndarray]]
+    goals: np.ndarray
+
+    def times(self, vectors: np.ndarray) -> np.ndarray:
+        """For each node the sum over its neighbours' vectors."""
+        out = np.zeros((len(self.nodes), vectors.shape[1]))
+        for at, sizes, to, wgt in self.near:
+            out[at] += _sized_sums(sizes, to, wgt, vectors, 0, len(at), 0)
+        return out
+
+    def back(self, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places of neighbours, sums over the group's nodes that they are neighbours of), some at a time."""
+        for cols, sizes, to, wgt in self.far:
+            first = 0
+            for lo in range(0, len(cols), 1 << 14):
+                hi = min(lo + (1 << 14), len(cols))
+                yield cols[lo:hi], _sized_sums(sizes, to, wgt, vectors, lo, hi, first)
+                first += int(sizes[lo:hi].sum(dtype=np.int64))
+
+
+_KINDS = [np.int32, np.int32, np.int32, np.float64]
+
+
+def _grouped(edges: DataFrame, scale: _Scale, goals: np.ndarray, count: int) -> DataFrame:
+    """Packed groups, a row each, of nodes dealt by a hash. Edges of nodes without a scale bring nothing."""
+    held, sent = (edges.sparkSession.sparkContext.broadcast(x) for x in (scale, goals))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for b in batches:
+            at, to = (held.value.places(b.column(c).to_numpy()) for c in ("src", "dst"))
+            wgt, some = b.column("wgt").to_numpy(), (held.value.turn[at] > 0) & (held.value.turn[to] > 0)
+            ones = some & (wgt == 1)
+            others = some & ~ones
+            key = at.astype(np.int64) << 32 | to
+            parts.append((key[ones], key[others], wgt[others]))
+        if not sum(len(x) + len(y) for x, y, _ in parts):
+            return
+        ones, others, wgt = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        nodes = np.unique(np.concatenate([np.unique((x >> 32).astype(np.int32)) for x in (ones, others)]))
+        packed = [nodes]
+        for far in (False, True):
+            for key, w in ((ones, None), (others, wgt)):
+                local = np.searchsorted(nodes, (key >> 32).astype(np.int32))
+                key = (key & 0xFFFFFFFF) << 32 | local if far else local << 32 | (key & 0xFFFFFFFF)
+                if w is None:
+                    key.sort()
+                else:
+                    order = np.argsort(key, kind="stable")
+                    key, w = key[order], w[order]
+                del local
+                packed += _runs(key, w)
+        packed.append(sent.value[nodes])
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], names=[f"x{i}" for i in range(len(packed))])
+
+    return edges.select("src", "dst", "wgt").repartition(count, "src").mapInArrow(run, ", ".join(f"x{i} binary" for i in range(18)))
+
+
+def _groups(batch: pa.RecordBatch, kind: type) -> Iterator[_Group]:
+    for i in range(len(batch)):
+        x = [np.frombuffer(c[i].as_buffer(), k) for c, k in zip(batch.columns, [np.int32, *_KINDS * 4, kind], strict=True)]
+        yield _Group(x[0], [x[1:5], x[5:9]], [x[9:13], x[13:17]], x[17].reshape(len(x[0]), -1))
+
+
+def _first_product(blocks: DataFrame, vectors: np.ndarray, turn: np.ndarray, share: float) -> np.ndarray:
+    """The operator times vectors, by groups, in this process."""
+    out = np.zeros_like(vectors)
+    for x, t in zip(_parts(vectors), _parts(turn), strict=True):
+        x *= t[:, None].astype(vectors.dtype)
+    sent = blocks.sparkSession.sparkContext.broadcast((vectors, turn))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, turn = sent.value
+        for batch in batches:
+            for group in _groups(batch, vectors.dtype):
+                t = turn[group.nodes][:, None]
+                found = (group.times(vectors) * t + share * vectors[group.nodes] / t).astype(vectors.dtype)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (group.nodes, found)], names=["at", "rows"])
+
+    for b in blocks.mapInArrow(run, "at binary, rows binary").toArrow().to_batches():
+        for i in range(len(b)):
+            out[np.frombuffer(b.column("at")[i].as_buffer(), np.int32)] = np.frombuffer(b.column("rows")[i].as_buffer(), out.dtype).reshape(-1, out.shape[1])
+    sent.destroy()
+    return out
+
+
 def _gcn_top(second: np.ndarray, wanted: np.ndarray, w: np.ndarray, n: int) -> tuple[float, np.ndarray, list[np.ndarray]]:
     """Of some rows of the upper layer: (their part of the loss over n rows, gradients of what came in, of the weights)."""
     two = np.tanh(second @ w)
@@ -153,9 +347,9 @@ class Gcn:
     def _train_apart(self, graph: Graph, start: DataFrame, target: DataFrame) -> Gcn:
         """The same steps with every product of the operator a join, and the weights' gradients sums over tasks."""
         c, n = self.config, graph.nodes.count()
+        if (kind := _kind(n, c)) is not None:
+            return self._train_sent(graph, start, target, kind)
         op = cut(gcn_operator(graph.nodes, graph.edges, c.self_weight), "gcn-operator")
-        if 16 * n * c.embed_dim <= SENT_LIMIT:
-            return self._train_sent(op, start, target)
         zero = F.array_repeat(F.lit(0.0), c.embed_dim)
 
         def times(x: DataFrame) -> DataFrame:
@@ -185,54 +379,98 @@ class Gcn:
             adam.step([g0 + c.weight_decay * self.weights[0], g + c.weight_decay * self.weights[1]])
         return self
 
-    def _train_sent(self, op: DataFrame, start: DataFrame, target: DataFrame) -> Gcn:
-        """The same steps with one pass over the operator's packed rows for each, in tasks that hold the first product, which does not
-        change, and the goals. What is pulled back through the operator is added up by each task for its own rows alone: the first
-        weights' gradient is a sum over them, so vectors of nodes never move."""
-        c, (ids, goals) = self.config, matrix(target)
-        n, d, spark = len(ids), c.embed_dim, op.sparkSession
-        count = max(width(spark), op.count() >> 18)
-        sent_ids = spark.sparkContext.broadcast(ids)
-
-        def packed(rows: pa.Table) -> pa.Table:
-            src, dst = (np.searchsorted(sent_ids.value, rows.column(x).to_numpy()).astype(np.int32) for x in ("src", "dst"))
-            order = np.argsort(src, kind="stable")
-            parts = src[order], dst[order], rows.column("wgt").to_numpy()[order]
-            return pa.table({x: pa.array([p.tobytes()], pa.binary()) for x, p in zip(("at", "to", "wgt"), parts, strict=True)})
-
-        blocks = cut(op.withColumn("block", F.pmod(F.xxhash64("src"), F.lit(count))).groupBy("block").applyInArrow(packed, "at binary, to binary, wgt binary"), "gcn-blocks")
-        first, linked = np.zeros((n, d)), np.zeros(n, bool)
-        own, rows = matrix(propagate(op, start))
-        first[np.searchsorted(ids, own)], linked[np.searchsorted(ids, own)] = rows, True
-        alone = float((goals[~linked] ** 2).sum() / n)  # rows without entries stay 0
-        sent = spark.sparkContext.broadcast((first, goals))
-
-        def of(batch: pa.RecordBatch, w0: np.ndarray, w1: np.ndarray) -> tuple[float, list[np.ndarray]]:
-            low, wanted = sent.value
-            one, total, g0, g1 = np.tanh(low @ w0), 0.0, np.zeros_like(w0), np.zeros_like(w1)
-            for r in batch.to_pylist():
-                at, to, w = np.frombuffer(r["at"], np.int32), np.frombuffer(r["to"], np.int32), np.frombuffer(r["wgt"])
-                starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                nodes = at[starts]
-                loss, back, (g,) = _gcn_top(np.add.reduceat(w[:, None] * one[to], starts), wanted[nodes], w1, n)
-                place, order = np.repeat(np.arange(len(nodes)), np.diff(np.r_[starts, len(at)])), np.argsort(to, kind="stable")
-                there = to[order]
-                ends = np.flatnonzero(np.r_[True, there[1:] != there[:-1]])
-                pulled = np.add.reduceat(w[order, None] * back[place[order]], ends)
+    def _train_sent(self, graph: Graph, start: DataFrame, target: DataFrame, kind: type) -> Gcn:
+        """The same steps with one pass over packed edges for each, in tasks that hold the first product, which does not change, and
+        the goals. What is pulled back through the operator is added up by each task for its own rows alone: the first weights'
+        gradient is a sum over them, so vectors of nodes never move."""
+        c, spark = self.config, graph.nodes.sparkSession
+        scale, share = _Scale.of(graph, c), c.self_weight / (1 + c.self_weight)
+        ids, turn, n = scale.ids, scale.turn, len(scale.ids)
+        entries = graph.edges.count()
+        count = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-entries // GROUP_ENTRIES))))
+        goals = _in_kind(target, kind)
+        alone = sum(float((x.astype(float) ** 2).sum()) for x in _parts(goals[turn == 0])) / n  # rows without entries stay 0
+        blocks = cut(_grouped(graph.edges, scale, goals, count), "gcn-blocks")
+        del goals
+        if entries <= JOINED_ENTRIES:
+            low = np.zeros((n, c.embed_dim), kind)
+            own, rows = matrix(propagate(gcn_operator(graph.nodes, graph.edges, c.self_weight), start))
+            low[np.searchsorted(ids, own)] = rows
+        else:
+            low = _first_product(blocks, _in_kind(start, kind), turn, share)
+        sent = spark.sparkContext.broadcast((low, turn.astype(kind)))
+        del low
+
+        def of(batch: pa.RecordBatch, w0: np.ndarray, w1: np.ndarray, seen: dict) -> tuple[float, list[np.ndarray]]:
+            low, turn = sent.value
+            if "scaled" not in seen:  # of all nodes, once a task
+                seen["scaled"] = np.empty_like(low)
+                for out, x, t in zip(_parts(seen["scaled"]), _parts(low), _parts(turn), strict=True):
+                    np.multiply(np.tanh(x @ w0.astype(kind)), t[:, None], out=out, casting="same_kind")
+            scaled, total, g0, g1 = seen["scaled"], 0.0, np.zeros_like(w0), np.zeros_like(w1)
+            for group in _groups(batch, kind):
+                nodes, t = group.nodes, turn[group.nodes][:, None]
+                one = scaled[nodes] / t
+                loss, back, (g,) = _gcn_top(group.times(scaled) * t + share * one, group.goals.astype(float), w1, n)
                 total, g1 = total + loss, g1 + g
-                g0 += low[there[ends]].T @ (pulled * (1 - one[there[ends]] ** 2))
+                g0 += low[nodes].T @ (share * back * (1 - one * one))
+                for cols, pulled in group.back((back * t).astype(kind)):
+                    t = turn[cols][:, None]
+                    g0 += low[cols].T @ (pulled * t * (1 - (scaled[cols] / t) ** 2))
             return total, [g0, g1]
 
         adam, stop = Adam(self.weights, c.learning_rate), Stopper(c.early_stop)
         for _ in range(c.refine_epochs):
             w0, w1 = (w.copy() for w in self.weights)
-            loss, (g0, g) = summed(blocks, lambda b, w0=w0, w1=w1: of(b, w0, w1))
+            loss, (g0, g) = summed(blocks, lambda b, w0=w0, w1=w1, seen={}: of(b, w0, w1, seen), count <= 64) if entries else (0.0, (0.0, 0.0))
             if self._done(loss + alone, stop):
                 break
             adam.step([g0 + c.weight_decay * self.weights[0], g + c.weight_decay * self.weights[1]])
+        sent.destroy()
         return self
 
+    def _applied_sent(self, graph: Graph, start: DataFrame, kind: type) -> DataFrame:
+        """As `apply`, in tasks that hold a layer's vectors of all nodes and add up those of neighbouring edges of one node."""
+        c, spark = self.config, graph.nodes.sparkSession
+        scale, share = _Scale.of(graph, c), c.self_weight / (1 + c.self_weight)
+        edges = (graph.edges if graph.kept else together(graph.edges)).select("src", "dst", "wgt")
+        held, own = spark.sparkContext.broadcast(scale), _in_kind(start, kind)
+        shape = "node_id long, vec array<double>"
+        for k, w in enumerate(self.weights):
+            for x, t in zip(_parts(own), _parts(scale.turn), strict=True):
+                x[:] = (x @ w.astype(kind)) * t[:, None]
+            sent = spark.sparkContext.broadcast(own)
+
+            def brought(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                scale, vectors = held.value, sent.value
+                for b in batches:
+                    if len(b):
+                        src = b.column("src").to_numpy()
+                        wgt, starts = b.column("wgt").to_numpy(), np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
+                        found = _run_sums(scale.places(b.column("dst").to_numpy()), starts, None if (wgt == 1).all() else wgt, vectors)
+                        yield pa.RecordBatch.from_arrays([pa.array(src[starts]), lists(found)], names=["node_id", "vec"])
+
+            def layer(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                scale, vectors = held.value, sent.value
+                for b in batches:
+                    if len(b):
+                        at = scale.places(b.column("node_id").to_numpy())
+                        t = scale.turn[at][:, None]
+                        found = np.tanh(rows_of(b) * t + share * vectors[at] / np.where(t > 0, t, 1.0))
+                        yield pa.RecordBatch.from_arrays([b.column("node_id"), lists(found)], names=["node_id", "vec"])
+
+            sums = edges.mapInArrow(brought, shape).groupBy("node_id").agg(vector_to_array(Summarizer.sum(array_to_vector("vec"))).alias("vec"))
+            h = cut(sums.mapInArrow(layer, shape), "gcn-layer")
+            if k + 1 < len(self.weights):
+                own[:] = 0
+                for some, rows in _found(h.select("node_id", F.col("vec").cast(_ARRAY[kind]).alias("vec"))):
+                    own[scale.places(some)] = rows
+        zero = F.array_repeat(F.lit(0.0), c.embed_dim)
+        return start.select("node_id").join(h, "node_id", "left").select("node_id", unit(F.coalesce("vec", zero)).alias("vec"))
+
     def apply(self, graph: Graph, start: DataFrame) -> DataFrame:
+        if (kind := _kind(graph.nodes.count(), self.config)) is not None:
+            return self._applied_sent(graph, start, kind)
         op = cut(gcn_operator(graph.nodes, graph.edges, self.config.self_weight), "gcn-operator")
         h = start
         for w in self.weights:

@@ -463,6 +463,32 @@ def test_gcn_training_moves_no_vectors(spark, monkeypatch):
         assert all(np.allclose(a, b) for a, b in zip(near.weights, other.weights, strict=True))
 
 
+@pytest.mark.parametrize("per_value", [16, 6])
+def test_gcn_training_and_application_join_no_vectors(spark, monkeypatch, per_value):
+    """By packed groups, in double and in single precision: with weights other than 1, long runs, a loop, and nodes without edges."""
+    from dataclasses import replace
+
+    pairs = [(i, (i + k) % 40, 1.0 if i % 3 else 0.5 * k) for i in range(40) for k in (1, 5)] + [(7, i) for i in range(20, 40)] + [(3, 3)]
+    g = make(spark, pairs, range(43))
+    start, target = (linear.random_rows(g.nodes, 4, seed).transform(vectors.l2_normalise).cache() for seed in (1, 2))
+    c = replace(SMALL, refine="gcn", refine_epochs=3, learning_rate=0.01)
+    monkeypatch.setattr(refine, "SENT_LIMIT", 0)
+    near = refine.refine_model(c).train(g, start, target)
+    plain = sorted(near.apply(g, start).collect())
+    monkeypatch.setattr(refine, "SENT_LIMIT", per_value * 43 * 4)
+    monkeypatch.setattr(refine, "JOINED_ENTRIES", 0)
+    monkeypatch.setattr(refine, "GROUP_ENTRIES", 20)
+    monkeypatch.setattr(refine, "propagate", None)
+    close = {"rtol": 0, "atol": 1e-10 if per_value == 16 else 1e-5}
+    for own in (g, graph.kept(g)):
+        sent = refine.refine_model(replace(c, train_nodes=5)).train(own, start, target)
+        assert np.allclose(near.losses, sent.losses, **close)
+        assert all(np.allclose(a, b, **close) for a, b in zip(near.weights, sent.weights, strict=True))
+        found = sorted(near.apply(own, start).collect())
+        assert [r.node_id for r in found] == [r.node_id for r in plain]
+        assert np.allclose([r.vec for r in found], [r.vec for r in plain], **close)
+
+
 @pytest.mark.parametrize("layers", [1, 2])
 def test_drawn_lists_are_the_samples(spark, layers):
     """The same draws as by joins, where a node's edges come in several batches."""
