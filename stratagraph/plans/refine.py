@@ -34,7 +34,7 @@ SENT_LIMIT = 128 << 20
 #: The same of the sampling model, whose tasks hold no products beside them.
 SAMPLED_LIMIT = 256 << 20
 #: Edges that a group of nodes of the convolution model's training has, about.
-GROUP_ENTRIES = 6_000_000
+GROUP_ENTRIES = 2_000_000
 #: Edges up to which its first product is made by a join.
 JOINED_ENTRIES = 1 << 20
 
